@@ -17,6 +17,12 @@ def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op7_simhash_anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import count_tokens
 
@@ -29,6 +35,6 @@ def op10_wavelet_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_cost_balanced_packing, op9_token_counts, op10_wavelet_token_file)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_cost_balanced_packing, op7_simhash_anchor_groups, op9_token_counts, op10_wavelet_token_file)}
 
 ORACLE_SQL: dict[str, str] = {}
