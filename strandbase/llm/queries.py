@@ -23,6 +23,12 @@ def op7_simhash_anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "removed")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import count_tokens
 
@@ -35,6 +41,6 @@ def op10_wavelet_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_cost_balanced_packing, op7_simhash_anchor_groups, op9_token_counts, op10_wavelet_token_file)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_cost_balanced_packing, op7_simhash_anchor_groups, op8_line_dedup, op9_token_counts, op10_wavelet_token_file)}
 
 ORACLE_SQL: dict[str, str] = {}
