@@ -11,6 +11,12 @@ from .shared import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import score_held_out
+
+    return score_held_out(read_table(spark, sf_dir, "documents"))
+
+
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -41,6 +47,6 @@ def op10_wavelet_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_cost_balanced_packing, op7_simhash_anchor_groups, op8_line_dedup, op9_token_counts, op10_wavelet_token_file)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_kneser_ney_scores, op4_cost_balanced_packing, op7_simhash_anchor_groups, op8_line_dedup, op9_token_counts, op10_wavelet_token_file)}
 
 ORACLE_SQL: dict[str, str] = {}
