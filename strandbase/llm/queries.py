@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import read_table
 
@@ -17,12 +18,26 @@ def op1_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(read_table(spark, sf_dir, "documents"))
 
 
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import audio_features, store_media
+
+    found = audio_features(store_media(read_table(spark, sf_dir, "documents")))
+    digest = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", *digest, "seconds", F.size("segments").alias("n_segments"), F.sha2("tensors", 256).alias("tensors_sha256"))
+
+
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_site_shrunken_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), carry=False)
+
+
 def op6_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -53,7 +68,7 @@ def op10_wavelet_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_kneser_ney_scores, op4_cost_balanced_packing, op6_prefix_filtered_decontamination, op7_simhash_anchor_groups, op8_line_dedup, op9_token_counts, op10_wavelet_token_file)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_kneser_ney_scores, op2_audio_features, op4_cost_balanced_packing, op5_site_shrunken_quality, op6_prefix_filtered_decontamination, op7_simhash_anchor_groups, op8_line_dedup, op9_token_counts, op10_wavelet_token_file)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_prefix_filtered_decontamination": r"""
