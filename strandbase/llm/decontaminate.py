@@ -100,8 +100,8 @@ def _found_by_shuffle(words: DataFrame, keyed: DataFrame) -> DataFrame:
     return marks.unionByName(hits)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_broadcast: int = 200_000, doc_id: str = "doc_id", item_id: str = "item_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each document row."""
+def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_broadcast: int = 200_000, doc_id: str = "doc_id", item_id: str = "item_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, tie, n_words, n_hit, n_items, items_sha256, contaminated) for each document row; ``tie`` is a hash of its text."""
     windows, window_items = windows_of(items, window, item_id, text_column)
     words = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text_column)).alias("tie"), words_of(F.col(text_column)).alias("words"))
     keyed = _keyed_windows(words, windows, most_broadcast)
@@ -121,6 +121,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
     listed = F.coalesce("items", F.array().cast("array<string>"))
     rows = both.select(
         F.col("a.doc").alias(doc_id),
+        F.col("a.tie").alias("tie"),
         "n_words",
         "n_hit",
         F.size(listed).cast("long").alias("n_items"),
@@ -129,3 +130,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
         F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     )
     return rows.drop("copy")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each document row."""
+    return report(docs, items, **options).drop("tie")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, most_broadcast: int = 200_000, doc_id: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item."""
+    found = report(docs, items, most_broadcast=most_broadcast, doc_id=doc_id, text_column=text_column, **options)
+    leaks = materialise(found.where("contaminated").select(F.col(doc_id).alias("__id"), F.col("tie").alias("__leak")).distinct(), "leaks")
+    leaks = F.broadcast(leaks) if _few(leaks, most_broadcast) else leaks
+    rows = docs.withColumn("__tie", F.xxhash64(F.col(text_column)))
+    return rows.join(leaks, (F.col("__tie") == F.col("__leak")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)

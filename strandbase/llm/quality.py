@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise
-from .vectext import BYTE_VALUE_LOWER, count_sorted, shingle_hashes, slices, span_hashes, string_parts, word_spans
+from .vectext import BYTE_VALUE_LOWER, count_sorted, mix, shingle_hashes, slices, span_hashes, string_parts, word_spans
 
 U64 = np.uint64
 MOST_LABELLED = 20_000
@@ -53,10 +53,19 @@ N_FEATURES = 19
 
 
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the distinct words of each text in order, words before each text: n + 1)."""
+    """(hashes of the distinct words of each text and of their beginnings, in order; their number before each text: n + 1).
+
+    Beginnings of 4 and 5 bytes let what is learned of a word count for its inflections.
+    """
     starts, ends, before = word_spans(data, offsets, _ENDS_WORD)
-    hashes = span_hashes(BYTE_VALUE_LOWER[data], starts, ends)
+    values = BYTE_VALUE_LOWER[data]
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
+    hashes, owners = [span_hashes(values, starts, ends)], [owner]
+    for size in (4, 5):
+        long = ends - starts > size
+        hashes.append(mix(span_hashes(values, starts[long], starts[long] + size) + U64(size)))
+        owners.append(owner[long])
+    hashes, owner = np.concatenate(hashes), np.concatenate(owners)
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     first = np.ones(len(hashes), bool)
@@ -198,16 +207,19 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     counts = measured.mapInArrow(by_word, "word long, a long, b long, c long, d long").groupBy("word").agg(*(F.sum(c).alias(c) for c in "abcd"))
 
     def odds(yes: str, no: str, n_yes: float, n_no: float):
+        """(log-odds drawn to zero by twice their standard error, z of the difference of shares)."""
         p, q = F.col(yes) / F.lit(max(n_yes, 1.0)), F.col(no) / F.lit(max(n_no, 1.0))
         both = (F.col(yes) + F.col(no) + 1) / F.lit(n_yes + n_no + 2)
         z = (p - q) / F.sqrt(both * (1 - both) * F.lit(1 / max(n_yes, 1.0) + 1 / max(n_no, 1.0)))
-        return F.log((F.col(yes) + 0.5) / F.lit(n_yes + 1) / ((F.col(no) + 0.5) / F.lit(n_no + 1))), z
+        ratio = F.log((F.col(yes) + 0.5) / F.lit(n_yes + 1) / ((F.col(no) + 0.5) / F.lit(n_no + 1)))
+        error = F.sqrt(1 / (F.col(yes) + 0.5) + 1 / (F.col(no) + 0.5))
+        return F.signum(ratio) * F.greatest(F.abs(ratio) - 2 * error, F.lit(0.0)), z
 
     good, zg = odds("a", "b", n[0], n[1])
     toxic, zt = odds("c", "d", n[2], n[3])
-    enough = (F.col("a") + F.col("b") >= 5) | (F.col("c") + F.col("d") >= 5)
-    kept = counts.where(enough).select("word", F.when(F.abs(zg) > 5, good).otherwise(0.0).alias("good"), F.when(F.abs(zt) > 5, toxic).otherwise(0.0).alias("toxic"), F.greatest(F.abs(zg), F.abs(zt)).alias("z"))
-    words = kept.where("z > 5").orderBy(F.desc("z"), "word").limit(most_words).collect()
+    enough = (F.col("a") + F.col("b") >= 3) | (F.col("c") + F.col("d") >= 3)
+    kept = counts.where(enough).select("word", F.when(F.abs(zg) > 4, good).otherwise(0.0).alias("good"), F.when(F.abs(zt) > 4, toxic).otherwise(0.0).alias("toxic"), F.greatest(F.abs(zg), F.abs(zt)).alias("z"))
+    words = kept.where("good != 0 or toxic != 0").orderBy(F.desc("z"), "word").limit(most_words).collect()
     keys = np.array([w.word for w in words], np.int64).view(U64)
     order = np.argsort(keys)
     lexicon = Lexicon(keys[order], np.array([w.good for w in words])[order], np.array([w.toxic for w in words])[order])

@@ -26,6 +26,12 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", *digest, "seconds", F.size("segments").alias("n_segments"), F.sha2("tensors", 256).alias("tensors_sha256"))
 
 
+def op3_maximum_scoring_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import main_text
+
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -68,7 +74,7 @@ def op10_wavelet_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_kneser_ney_scores, op2_audio_features, op4_cost_balanced_packing, op5_site_shrunken_quality, op6_prefix_filtered_decontamination, op7_simhash_anchor_groups, op8_line_dedup, op9_token_counts, op10_wavelet_token_file)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_kneser_ney_scores, op2_audio_features, op3_maximum_scoring_text, op4_cost_balanced_packing, op5_site_shrunken_quality, op6_prefix_filtered_decontamination, op7_simhash_anchor_groups, op8_line_dedup, op9_token_counts, op10_wavelet_token_file)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_prefix_filtered_decontamination": r"""

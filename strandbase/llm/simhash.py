@@ -183,25 +183,42 @@ def links(classes: DataFrame, threshold: int = 4) -> DataFrame:
 
 
 def fingerprint_table(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fp as long) for each row, kept in the shared folder."""
+    """(id, tie, fp as long) for each row, kept in the shared folder; ``tie`` orders rows of one id."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = fingerprints(*string_parts(part.column("text")), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), pa.array(found.view(np.int64))], ["id", "tie", "fp"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    slim = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return materialise(slim.mapInArrow(prints, f"id {kind}, fp long"), "fingerprints")
+    slim = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("tie"), F.col(text_column).alias("text"))
+    return materialise(slim.mapInArrow(prints, f"id {kind}, tie long, fp long"), "fingerprints")
+
+
+def _groups(prints: DataFrame, threshold: int) -> DataFrame:
+    """(fp, component, least): the component of each fingerprint, and its own least (id, tie), null ids last."""
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
+    classes = materialise(prints.groupBy("fp").agg(F.min(place).alias("least")), "classes")
+    groups = components(links(classes, threshold)).withColumnRenamed("node", "fp")
+    return classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) for each row."""
     prints = fingerprint_table(docs, shingle, id_column, text_column)
-    classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    groups = components(links(classes, threshold)).withColumnRenamed("node", "fp")
-    named = classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "component").join(least, "component").select("fp", "component_id")
+    named = _groups(prints, threshold)
+    least = named.groupBy("component").agg(F.min("least").alias("least"))
+    of = named.select("fp", "component").join(least, "component").select("fp", F.col("least.id").alias("component_id"))
     return prints.join(of, "fp").select(F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, threshold: int = 4, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` less all but one, the one with the least id, of each group."""
+    prints = fingerprint_table(docs, shingle, id_column, text_column)
+    kept = _groups(prints, threshold).groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.tie").alias("__kept"))
+    rows = docs.withColumn("__tie", F.xxhash64(F.col(text_column)))
+    out = rows.join(kept, (F.col("__tie") == F.col("__kept")) & F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
+    if prints.count() != prints.select("id", "tie").distinct().count():  # the same row twice or more
+        out = out.dropDuplicates([id_column, "__tie"])
+    return out.select(*docs.columns)
