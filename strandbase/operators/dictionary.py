@@ -1 +1,388 @@
-"""To come."""
+"""Dictionaries and grammars over text columns: counts, gains, merges, fragments, fronts and contexts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.columns import table, words
+from ..plans.ordered import global_rank
+from ..plans.paths import scratch
+from ..registry import query
+
+_WORDS = "w AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '')) AS word FROM documents)"
+
+
+def _docs(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+@query("x1_symbol_histogram", "SELECT c AS sym, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c")
+def x1(spark, d):
+    each = _docs(spark, d).select(F.explode(F.split("text", "")).alias("sym"))
+    return each.where("sym != ''").groupBy("sym").agg(F.count("*").alias("n"))
+
+
+def word_dictionary(df: DataFrame, id_column: str, text_column: str, code_bytes: int = 2, top: int = 4096) -> DataFrame:
+    """(word, n, gain, id): words worth a code of ``code_bytes``, best by bytes saved, numbered by frequency."""
+    n = words(df, id_column, text_column).groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+    size = F.octet_length("word")
+    best = n.withColumn("gain", ((size - code_bytes) * F.col("n") - size).cast("long")).where("gain > 0").orderBy(F.desc("gain"), "word").limit(top)
+    return best.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).cast("long"))
+
+
+_DICT = f"{_WORDS}, n AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 2), b AS (SELECT word, n, (octet_length(encode(word)) - 2) * n - octet_length(encode(word)) AS gain FROM n), t AS (SELECT * FROM b WHERE gain > 0 ORDER BY gain DESC, word LIMIT 4096), dict AS (SELECT *, row_number() OVER (ORDER BY n DESC, word) - 1 AS id FROM t)"
+
+
+@query("x2_word_dictionary_gain", f"WITH {_DICT} SELECT word, n, gain, id FROM dict")
+def x2(spark, d):
+    return word_dictionary(_docs(spark, d), "doc_id", "text")
+
+
+@query("x3_word_substitution", f"WITH {_DICT} SELECT doc_id, count(id) AS coded, CAST(sum(CASE WHEN id IS NULL THEN octet_length(encode(w.word)) + 1 ELSE 2 END) AS BIGINT) AS n_bytes FROM w LEFT JOIN dict ON w.word = dict.word GROUP BY doc_id")
+def x3(spark, d):
+    dictionary = word_dictionary(_docs(spark, d), "doc_id", "text").select("word", "id")  # at most 4096 rows
+    coded = words(_docs(spark, d), "doc_id", "text").join(F.broadcast(dictionary), "word", "left")
+    return coded.groupBy("doc_id").agg(F.count("id").alias("coded"), F.sum(F.when(F.col("id").isNull(), F.octet_length("word") + 1).otherwise(2)).cast("long").alias("n_bytes"))
+
+
+def pair_counts(df: DataFrame, tokens: str) -> DataFrame:
+    """(a, b, n): adjacent tokens of arrays."""
+    ends = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.explode(F.arrays_zip(F.slice(tokens, F.lit(1), ends).alias("a"), F.slice(tokens, F.lit(2), ends).alias("b"))).alias("p")
+    return df.select(pairs).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+
+
+@query("x4_pair_counts", "SELECT a, b, count(*) AS n FROM (SELECT substring(p_name, CAST(i AS INT), 1) AS a, substring(p_name, CAST(i + 1 AS INT), 1) AS b FROM (SELECT p_name, unnest(range(1, length(p_name))) AS i FROM part)) GROUP BY ALL")
+def x4(spark, d):
+    return pair_counts(table(spark, d, "part").select(F.split("p_name", "").alias("t")), "t")
+
+
+def merge_pairs(tokens: Column, pairs: dict[tuple[int, int], int]) -> Column:
+    """An array of token ids with every listed pair replaced, greedily from left to right, in one fold."""
+    table_ = F.create_map(*(x for (a, b), c in pairs.items() for x in (F.lit(a << 32 | b).cast("long"), F.lit(c).cast("long"))))
+
+    def step(acc: Column, token: Column) -> Column:
+        merged = F.when(acc["open"].isNotNull(), F.element_at(table_, F.shiftleft(acc["open"], 32).bitwiseOR(token)))
+        closed = F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.coalesce(merged, acc["open"]))))
+        return F.struct(closed.alias("out"), F.when(merged.isNull(), token).alias("open"))
+
+    start = F.struct(F.array().cast("array<long>").alias("out"), F.lit(None).cast("long").alias("open"))
+    finish = lambda acc: F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"])))
+    return F.aggregate(tokens, start, step, finish)
+
+
+def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int = 6, a_round: int = 16) -> tuple[DataFrame, list[tuple[int, int, int]], list[dict]]:
+    """Batched byte-pair merges: (tokenised rows, rules (a, b, id), cost after each round).
+
+    A round counts pairs over all rows, takes the most frequent whose members don't
+    overlap, and rewrites the rows; the table of rows is written between rounds.
+    """
+    spark = df.sparkSession
+    tokens = df.select(row_id, F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")).alias("tokens"))
+    rules: list[tuple[int, int, int]] = []
+    ledger: list[dict] = []
+    for number in range(rounds + 1):
+        path = scratch(spark, "pairs")
+        tokens.write.parquet(path)
+        tokens = spark.read.schema(tokens.schema).parquet(path)
+        used = tokens.agg(F.sum(F.size("tokens"))).first()[0] or 0
+        ledger.append({"round": number, "tokens": int(used), "rules": len(rules), "cost": 2 * int(used) + 4 * len(rules)})
+        if number == rounds:
+            break
+        best = pair_counts(tokens, "tokens").orderBy(F.desc("n"), "a", "b").limit(4 * a_round).collect()
+        chosen: dict[tuple[int, int], int] = {}
+        lefts, rights = set(), set()
+        for r in best:
+            if r.n >= 2 and r.a not in rights and r.b not in lefts and len(chosen) < a_round:
+                chosen[r.a, r.b] = 0x110000 + len(rules)
+                rules.append((r.a, r.b, 0x110000 + len(rules)))
+                lefts.add(r.a)
+                rights.add(r.b)
+        if not chosen:
+            break
+        tokens = tokens.select(row_id, merge_pairs(F.col("tokens"), chosen).alias("tokens"))
+    return tokens, rules, ledger
+
+
+def expand(tokens: DataFrame, rules: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, text): rules (id, a, b) are applied backwards, one level a round, by a join."""
+    spark = tokens.sparkSession
+    path = scratch(spark, "expansion")
+    known = rules.select(F.col("id"), F.array("a", "b").alias("parts"))
+    while True:  # expand the rules themselves first: few rows
+        open_ = known.select("id", F.posexplode("parts").alias("pos", "p"))
+        deeper = open_.join(rules.select(F.col("id").alias("p"), "a", "b"), "p", "left")
+        step = deeper.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("a").isNull(), F.array("p")).otherwise(F.array("a", "b")).alias("q")))).alias("s"), F.count("a").alias("more"))
+        step = step.select("id", F.flatten(F.transform("s", lambda x: x["q"])).alias("parts"), "more")
+        place = f"{path}/{id(step)}"
+        step.write.parquet(place)
+        step = spark.read.schema(step.schema).parquet(place)
+        known = step.select("id", "parts")
+        if not step.where("more > 0").limit(1).count():
+            break
+    texts = known.select("id", F.array_join(F.transform("parts", lambda c: F.char(c)), "").alias("s"))
+    each = tokens.select(row_id, F.posexplode("tokens").alias("pos", "id")).join(F.broadcast(texts), "id", "left")
+    symbol = F.coalesce("s", F.char("id"))
+    return each.groupBy(row_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", symbol.alias("c")))), lambda x: x["c"]), "").alias("text"))
+
+
+@query("x5_byte_pair_roundtrip", "SELECT p_partkey, p_name AS text FROM part")
+def x5(spark, d):
+    tokens, rules, _ = byte_pairs(table(spark, d, "part"), "p_partkey", "p_name")
+    grammar = spark.createDataFrame([(c, a, b) for a, b, c in rules], "id long, a long, b long")
+    return expand(tokens, grammar, "p_partkey")
+
+
+@query("x6_pair_at_a_time_roundtrip", "SELECT r_regionkey, r_name AS text FROM region")
+def x6(spark, d):
+    """Exact pair replacement: one rule, the most frequent pair, a round."""
+    tokens, rules, _ = byte_pairs(table(spark, d, "region"), "r_regionkey", "r_name", rounds=4, a_round=1)
+    grammar = spark.createDataFrame([(c, a, b) for a, b, c in rules], "id long, a long, b long")
+    return expand(tokens, grammar, "r_regionkey")
+
+
+def parsed(df: DataFrame, row_id: str, text: str, dictionary: list[str], shortest: bool) -> DataFrame:
+    """(row_id, pieces): each text as dictionary entries and single characters, longest first or fewest in all."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    entries = frozenset(dictionary)
+    most = max(map(len, entries), default=1)
+
+    def cut(s: str) -> list[str]:
+        n = len(s)
+        if shortest:
+            cost, size = [0] * (n + 1), [1] * (n + 1)
+            for i in range(n - 1, -1, -1):
+                cost[i], size[i] = min((cost[i + k] + 1, -k) for k in range(1, min(most, n - i) + 1) if k == 1 or s[i : i + k] in entries)
+                size[i] = -size[i]
+        else:
+            size = [next((k for k in range(min(most, n - i), 1, -1) if s[i : i + k] in entries), 1) for i in range(n)]
+        out, i = [], 0
+        while i < n:
+            out.append(s[i : i + size[i]])
+            i += size[i]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({row_id: batch[row_id], "pieces": [cut(s or "") for s in batch[text]]})
+
+    kind = df.schema[row_id].dataType.simpleString()
+    return df.select(row_id, text).mapInPandas(run, f"{row_id} {kind}, pieces array<string>")
+
+
+def _entries(spark, d) -> list[str]:
+    found = fragments(table(spark, d, "pages").select("url"), "url", [4, 6, 8, 12], 1, 100).select("fragment").collect()  # at most 400 rows
+    return [r.fragment for r in found]
+
+
+@query("x9_shortest_parse", "SELECT page_id, url AS text, true AS no_longer FROM pages")
+def x9(spark, d):
+    pages, entries = table(spark, d, "pages"), _entries(spark, d)
+    best = parsed(pages, "page_id", "url", entries, True)
+    greedy = parsed(pages, "page_id", "url", entries, False).withColumnRenamed("pieces", "greedy")
+    return best.join(greedy, "page_id").select("page_id", F.array_join("pieces", "").alias("text"), (F.size("pieces") <= F.size("greedy")).alias("no_longer"))
+
+
+@query("x11_greedy_longest_match", "SELECT page_id, url AS text FROM pages")
+def x11(spark, d):
+    return parsed(table(spark, d, "pages"), "page_id", "url", _entries(spark, d), False).select("page_id", F.array_join("pieces", "").alias("text"))
+
+
+@query("x7_grammar_expansion", "WITH RECURSIVE g AS (SELECT n_nationkey AS root, n_nationkey AS id, 0 AS depth FROM nation UNION ALL SELECT root, 2 * id + k, depth + 1 FROM g, (SELECT unnest([1, 2]) AS k) WHERE depth < 3 AND 2 * id + k < 100) SELECT root, count(*) AS n FROM g GROUP BY root")
+def x7(spark, d):
+    """A fixed number of levels: each is a join with the rules."""
+    rules = spark.range(0, 100).select(F.col("id").cast("long").alias("id"), F.explode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2)).alias("child")).where("child < 100")
+    level = table(spark, d, "nation").select(F.col("n_nationkey").alias("root"), F.col("n_nationkey").cast("long").alias("id"))
+    every = level
+    for _ in range(3):
+        level = level.join(rules, "id").select("root", F.col("child").alias("id"))
+        every = every.unionAll(level)
+    return every.groupBy("root").agg(F.count("*").alias("n"))
+
+
+def symbol_table(df: DataFrame, text: str, rounds: int = 5, size: int = 255, longest: int = 8) -> list[str]:
+    """Up to ``size`` symbols of 1 to ``longest`` characters: each round parses with the table so far, counts symbols
+    and neighbours over all rows, and keeps those that cover most."""
+    from collections import Counter
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    symbols: list[str] = []
+    for _ in range(rounds):
+        known = frozenset(symbols)
+
+        def count(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found: Counter = Counter()
+                for s in batch[text]:
+                    i, before = 0, ""
+                    while s and i < len(s):
+                        k = next((k for k in range(min(longest, len(s) - i), 1, -1) if s[i : i + k] in known), 1)
+                        now = s[i : i + k]
+                        found[now] += 1
+                        if before and len(before) + k <= longest:
+                            found[before + now] += 1
+                        before, i = now, i + k
+                yield pd.DataFrame({"symbol": list(found), "n": list(found.values())})
+
+        counted = df.select(text).mapInPandas(count, "symbol string, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+        symbols = [r.symbol for r in counted.orderBy(F.desc(F.col("n") * F.length("symbol")), "symbol").limit(size).collect()]
+    return symbols
+
+
+@query("x22_symbol_table_roundtrip", "SELECT page_id, url AS text, true AS shorter FROM pages")
+def x22(spark, d):
+    pages = table(spark, d, "pages")
+    parts = parsed(pages, "page_id", "url", symbol_table(pages, "url"), False)
+    return parts.select("page_id", F.array_join("pieces", "").alias("text"), (F.size("pieces") < F.length(F.array_join("pieces", ""))).alias("shorter"))
+
+
+@query("x8_stop_at_best_cost")
+def x8(spark, d):
+    _, _, ledger = byte_pairs(table(spark, d, "part"), "p_partkey", "p_name", rounds=4)
+    rows = spark.createDataFrame([(r["round"], r["tokens"], r["rules"], r["cost"]) for r in ledger], "round int, tokens long, rules int, cost long")
+    best = rows.agg(F.min_by("round", F.struct("cost", "round")).alias("best"))
+    return rows.crossJoin(best).withColumn("best", F.col("round") == F.col("best"))
+
+
+def fragments(df: DataFrame, text: str, lengths: list[int], stride: int, top: int) -> DataFrame:
+    """(length, fragment, n, score): fixed-length pieces at a stride, best by bytes covered, ``top`` a length."""
+    starts = F.explode(F.array(*(F.lit(n) for n in lengths))).alias("length")
+    each = df.select(text, starts).where(F.length(text) >= F.col("length"))
+    pieces = each.select("length", F.explode(F.transform(F.sequence(F.lit(1), F.length(text) - F.col("length") + 1, F.lit(stride)), lambda i: F.substring(F.col(text), i, F.col("length")))).alias("fragment"))
+    counted = pieces.groupBy("length", "fragment").agg(F.count("*").alias("n")).where("n >= 2").withColumn("score", F.col("n") * F.col("length"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy("length").orderBy(F.desc("score"), "fragment"))).where(F.col("place") <= top).drop("place")
+
+
+@query(
+    "x12_ngram_mining",
+    "WITH p AS (SELECT k AS length, substring(url, CAST(i AS INT), k) AS fragment FROM (SELECT url, k, unnest(range(1, length(url) - k + 2, 4)) AS i FROM pages, (SELECT unnest([8, 12, 16, 24]) AS k) WHERE length(url) >= k)), c AS (SELECT length, fragment, count(*) AS n FROM p GROUP BY length, fragment), r AS (SELECT length, fragment, n, n * length AS score, row_number() OVER (PARTITION BY length ORDER BY n * length DESC, fragment) AS k FROM c WHERE n >= 2) SELECT length, fragment, n, score FROM r WHERE k <= 200",
+)
+def x12(spark, d):
+    return fragments(table(spark, d, "pages").select("url"), "url", [8, 12, 16, 24], 4, 200)
+
+
+@query("x13_usage_and_prune", f"WITH {_DICT} SELECT dict.word, count(*) AS used, count(*) * octet_length(encode(dict.word)) AS score FROM w JOIN dict ON w.word = dict.word GROUP BY dict.word HAVING count(*) * octet_length(encode(dict.word)) >= 500")
+def x13(spark, d):
+    dictionary = word_dictionary(_docs(spark, d), "doc_id", "text").select("word")
+    used = words(_docs(spark, d), "doc_id", "text").join(F.broadcast(dictionary), "word").groupBy("word").agg(F.count("*").alias("used"))
+    return used.withColumn("score", F.col("used") * F.octet_length("word")).where("score >= 500")
+
+
+@query("x14_phrase_candidates", "WITH w AS (SELECT list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '') AS ws FROM documents), p AS (SELECT ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS phrase FROM (SELECT ws, unnest(range(1, len(ws) - 1)) AS i FROM w)) SELECT phrase, count(*) AS n FROM p GROUP BY phrase HAVING count(*) >= 10")
+def x14(spark, d):
+    ws = _docs(spark, d).select(F.filter(F.split("text", "[ \n]+"), lambda w: w != "").alias("ws")).where(F.size("ws") >= 3)
+    phrases = ws.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.array_join(F.slice("ws", i, 3), " "))).alias("phrase"))
+    return phrases.groupBy("phrase").agg(F.count("*").alias("n")).where("n >= 10")
+
+
+@query("x15_sampled_codebook_choice", "WITH v AS (SELECT c_mktsegment AS v FROM customer WHERE c_custkey % 10 = 0), n AS (SELECT v, count(*) AS n FROM v GROUP BY v), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS k FROM n) SELECT size, CAST(sum(CASE WHEN k <= size THEN n + octet_length(encode(v)) ELSE n * octet_length(encode(v)) END) AS BIGINT) AS cost FROM r, (SELECT unnest([0, 1, 2, 4, 8]) AS size) GROUP BY size")
+def x15(spark, d):
+    sample = table(spark, d, "customer").where("c_custkey % 10 = 0").groupBy(F.col("c_mktsegment").alias("v")).agg(F.count("*").alias("n"))
+    ranked = global_rank(sample, -F.col("n"), [F.desc("n"), "v"], "k")
+    size = F.octet_length("v")
+    each = ranked.withColumn("size", F.explode(F.array(*(F.lit(s) for s in (0, 1, 2, 4, 8)))))
+    return each.groupBy("size").agg(F.sum(F.when(F.col("k") <= F.col("size"), F.col("n") + size).otherwise(F.col("n") * size)).cast("long").alias("cost"))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two strings."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, F.lit(1), i) != F.substring(b, F.lit(1), i))
+    return F.when(n == 0, 0).otherwise(F.coalesce(F.try_element_at(same, F.lit(1)) - 1, n))
+
+
+def front_coded(df: DataFrame, value: str, bucket: Column) -> DataFrame:
+    """(value, lcp, suffix): distinct values in order, each as what it shares with the one before.
+
+    Buckets follow the order, so only a bucket's first value lacks its true
+    predecessor: it is kept whole, as at the start of a block.
+    """
+    w = Window.partitionBy("bucket").orderBy(value)
+    rows = df.select(value).distinct().withColumn("bucket", bucket).withColumn("prev", F.coalesce(F.lag(value).over(w), F.lit("")))
+    lcp = common_prefix(F.col("prev"), F.col(value))
+    return rows.withColumn("lcp", lcp).select(F.col(value).alias("value"), "lcp", F.substring(F.col(value), F.col("lcp") + 1, F.lit(1 << 20)).alias("suffix"))
+
+
+_LCP = "len(list_filter(range(1, least(length({0}), length({1})) + 1), lambda i: substring({0}, 1, CAST(i AS INT)) = substring({1}, 1, CAST(i AS INT))))"
+
+
+@query("x16_front_coding_sorted", f"WITH u AS (SELECT DISTINCT url FROM pages), o AS (SELECT url, coalesce(lag(url) OVER (PARTITION BY substring(url, 1, 9) ORDER BY url), '') AS prev FROM u), l AS (SELECT url, CAST({_LCP.format('prev', 'url')} AS INTEGER) AS lcp FROM o) SELECT url AS value, lcp, substring(url, lcp + 1) AS suffix FROM l")
+def x16(spark, d):
+    return front_coded(table(spark, d, "pages"), "url", F.substring("url", 1, 9))
+
+
+@query("x17_reversed_variant", f"WITH f AS (SELECT DISTINCT url AS v FROM pages), r AS (SELECT DISTINCT reverse(url) AS v FROM pages), a AS (SELECT 'forward' AS way, v, coalesce(lag(v) OVER (PARTITION BY substring(v, 1, 9) ORDER BY v), '') AS prev FROM f UNION ALL SELECT 'reversed', v, coalesce(lag(v) OVER (PARTITION BY substring(v, 1, 2) ORDER BY v), '') FROM r) SELECT way, CAST(sum(length(v) - {_LCP.format('prev', 'v')}) AS BIGINT) AS suffix_chars FROM a GROUP BY way")
+def x17(spark, d):
+    pages = table(spark, d, "pages")
+    both = front_coded(pages, "url", F.substring("url", 1, 9)).withColumn("way", F.lit("forward")).unionAll(front_coded(pages.select(F.reverse("url").alias("u")), "u", F.substring("u", 1, 2)).withColumn("way", F.lit("reversed")))
+    return both.groupBy("way").agg(F.sum(F.length("suffix")).cast("long").alias("suffix_chars"))
+
+
+@query("x18_parent_dictionary", "SELECT p AS parent, count(*) AS n, CAST(sum(length(u) - length(p)) AS BIGINT) AS tail_chars FROM (SELECT DISTINCT url AS u, regexp_extract(url, '^.*/') AS p FROM pages) GROUP BY p")
+def x18(spark, d):
+    values = table(spark, d, "pages").select(F.col("url").alias("u")).distinct().withColumn("parent", F.regexp_extract("u", "^.*/", 0))
+    return values.groupBy("parent").agg(F.count("*").alias("n"), F.sum(F.length("u") - F.length("parent")).cast("long").alias("tail_chars"))
+
+
+@query("x20_split_long_words", f"WITH {_WORDS} SELECT DISTINCT substring(word, CAST(i * 8 + 1 AS INT), 8) AS piece FROM (SELECT word, unnest(range(0, (length(word) + 7) // 8)) AS i FROM w)")
+def x20(spark, d):
+    w = words(_docs(spark, d), "doc_id", "text").select("word").distinct()
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("word") + 7) / 8).cast("int") - 1), lambda i: F.substring(F.col("word"), i * 8 + 1, F.lit(8)))
+    return w.select(F.explode(parts).alias("piece")).distinct()
+
+
+@query("x21_frequency_renumbering", "SELECT p_type AS v, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS id FROM part GROUP BY p_type")
+def x21(spark, d):
+    n = table(spark, d, "part").groupBy(F.col("p_type").alias("v")).agg(F.count("*").alias("n"))
+    return global_rank(n, -F.col("n"), [F.desc("n"), "v"], "id").select("v", (F.col("id") - 1).cast("long").alias("id"))
+
+
+@query(
+    "x24_context_classes",
+    "WITH b AS (SELECT substring(p_name, CAST(i - 1 AS INT), 1) AS a, substring(p_name, CAST(i AS INT), 1) AS b FROM (SELECT p_name, unnest(range(2, length(p_name) + 1)) AS i FROM part)) SELECT CASE WHEN regexp_matches(a, '[a-z]') THEN 'lower' WHEN regexp_matches(a, '[A-Z]') THEN 'upper' WHEN regexp_matches(a, '[0-9]') THEN 'digit' WHEN a = ' ' THEN 'space' ELSE 'other' END AS context, b AS sym, count(*) AS n FROM b GROUP BY ALL",
+)
+def x24(spark, d):
+    counts = pair_counts(table(spark, d, "part").select(F.split("p_name", "").alias("t")), "t")
+    context = F.when(F.col("a").rlike("[a-z]"), "lower").when(F.col("a").rlike("[A-Z]"), "upper").when(F.col("a").rlike("[0-9]"), "digit").when(F.col("a") == " ", "space").otherwise("other")
+    return counts.groupBy(context.alias("context"), F.col("b").alias("sym")).agg(F.sum("n").alias("n"))
+
+
+def merge_losses(counts: DataFrame) -> DataFrame:
+    """(a, b, loss): bits lost if the contexts a < b share one table; contexts are at most 256, so all pairs are few."""
+    ent = lambda n, t: n * F.log2(t / n)
+    totals = counts.groupBy("context").agg(F.sum("n").alias("t"))
+    own = counts.join(totals, "context").groupBy("context", "t").agg(F.sum(ent(F.col("n"), F.col("t"))).alias("bits"))
+    a, b = own.select(F.col("context").alias("a"), F.col("t").alias("ta"), F.col("bits").alias("ba")), own.select(F.col("context").alias("b"), F.col("t").alias("tb"), F.col("bits").alias("bb"))
+    pairs = a.join(b, F.col("a") < F.col("b"))
+    both = pairs.join(counts, (F.col("context") == F.col("a")) | (F.col("context") == F.col("b"))).groupBy("a", "b", "ta", "tb", "ba", "bb", "sym").agg(F.sum("n").alias("n"))
+    joint = both.groupBy("a", "b", "ba", "bb").agg(F.sum(ent(F.col("n"), F.col("ta") + F.col("tb"))).alias("bits"))
+    return joint.select("a", "b", F.round(F.col("bits") - F.col("ba") - F.col("bb"), 3).alias("loss"))
+
+
+@query(
+    "x25_context_merge_losses",
+    "WITH c AS (SELECT p_brand AS context, substring(p_name, 1, 1) AS sym, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT context, sum(n) AS t FROM c GROUP BY context), o AS (SELECT context, t, sum(n * log2(t / n)) AS bits FROM c JOIN t USING (context) GROUP BY ALL), p AS (SELECT a.context AS a, b.context AS b, a.t + b.t AS t, a.bits + b.bits AS bits FROM o a JOIN o b ON a.context < b.context), m AS (SELECT p.a, p.b, p.t, p.bits, c.sym, sum(c.n) AS n FROM p JOIN c ON c.context = p.a OR c.context = p.b GROUP BY ALL) SELECT a, b, round(sum(n * log2(t / n)) - bits, 3) AS loss FROM m GROUP BY a, b, bits",
+)
+def x25(spark, d):
+    return merge_losses(table(spark, d, "part").groupBy(F.col("p_brand").alias("context"), F.substring("p_name", 1, 1).alias("sym")).agg(F.count("*").alias("n")))
+
+
+@query("x26_grammar_size_search")
+def x26(spark, d):
+    part = table(spark, d, "part")
+    _, _, ledger = byte_pairs(part, "p_partkey", "p_name", rounds=3, a_round=32)
+    rows = spark.createDataFrame([(r["rules"], r["tokens"], r["cost"]) for r in ledger], "rules int, tokens long, cost long")
+    return rows.withColumn("smallest", F.col("cost") == F.min("cost").over(Window.partitionBy()))
+
+
+@query("x27_prefix_cover_candidates", "SELECT substring(url, 1, CAST(k AS INT)) AS prefix, count(*) AS n, (count(*) - 1) * k AS saving FROM pages, (SELECT unnest(range(3, 97)) AS k) WHERE length(url) >= k GROUP BY k, 1 HAVING count(*) >= 4")
+def x27(spark, d):
+    lengths = F.explode(F.sequence(F.lit(3), F.least(F.length("url"), F.lit(96)))).alias("k")
+    each = table(spark, d, "pages").where(F.length("url") >= 3).select("url", lengths).select("k", F.substring(F.col("url"), F.lit(1), F.col("k")).alias("prefix"))
+    return each.groupBy("k", "prefix").agg(F.count("*").alias("n")).where("n >= 4").select("prefix", "n", ((F.col("n") - 1) * F.col("k")).alias("saving"))
