@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 from strandbase.llm.decontaminate import clean_documents
 from strandbase.llm.linededup import dedup_lines
 from strandbase.llm.packing import pack
-from strandbase.llm.quality import classify
+from strandbase.llm.quality import keep_good
 from strandbase.llm.shared import materialise, read_table
 from strandbase.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps: good and not toxic."""
-    return classify(docs, read_table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; a document all of whose text is such lines goes."""
-    cut = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != "") | F.col("text").isNull())
-    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    cut = dedup_lines(docs, prefix="__line_").where((F.col("__line_n_removed") == 0) | (F.trim("text") != "") | F.col("text").isNull())
+    changed = F.when(F.col("__line_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select(*(changed.alias(c) if c == "n_chars" else c for c in docs.columns))
 
 

@@ -30,8 +30,10 @@ def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def cuts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(shard, begin, end) of the runs in sorted keys."""
+    if not len(keys):
+        return
     shard = shard_of(keys, bits)
-    edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(keys) else []
+    edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
     for a, b in zip(edge, [*edge[1:], len(keys)], strict=True):
         yield int(shard[a]), int(a), int(b)
 

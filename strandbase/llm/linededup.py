@@ -272,8 +272,11 @@ def line_keys(tie: np.ndarray, line: np.ndarray) -> np.ndarray:
     return combine(mix(tie.astype(np.int64).view(U64)), line.astype(np.int64).view(U64))
 
 
-def dedup_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The input's columns with the text less its removed lines, then n_lines, n_removed and removed (line numbers)."""
+def dedup_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text", prefix: str = "") -> DataFrame:
+    """The input's columns with the text less its removed lines, then n_lines, n_removed and removed (line numbers).
+
+    ``prefix`` stands before these three names; of the input's columns so named the input's stay.
+    """
     if not 0.5 <= threshold <= 1 or math.isnan(threshold):
         raise ValueError("the threshold is between 0.5 and 1")
     spark = docs.sparkSession
@@ -313,4 +316,5 @@ def dedup_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
     rest_type = wide.schema["__rest"].dataType.simpleString()
     out = wide.mapInArrow(cut, f"__text string, __rest {rest_type}, n_lines int, n_removed int, removed array<int>")
     columns = [F.col("__text").alias(c) if c == text_column else F.col("__rest")[c].alias(c) for c in docs.columns]
-    return out.select(*columns, *(c for c in ("n_lines", "n_removed", "removed") if c not in docs.columns))
+    report = ("n_lines", "n_removed", "removed")
+    return out.select(*columns, *(F.col(c).alias(prefix + c) for c in report if prefix + c not in docs.columns))

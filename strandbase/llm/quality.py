@@ -302,23 +302,35 @@ def _logit(x):
     return F.log(x / (1 - x))
 
 
-def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, host_column: str = "source", path_column: str = "lang", id_column: str = "doc_id", text_column: str = "text", carry: bool = True) -> DataFrame:
-    """The rows of ``docs`` (without ``carry``, only their ids) with p_good, p_toxic, the site posteriors and keep."""
+def _judged(docs: DataFrame, labels: DataFrame, most_labelled: int, host_column: str, path_column: str, id_column: str, text_column: str, carry: bool) -> DataFrame:
+    """``docs`` (without ``carry``, only the id) with the columns __p_good, __p_toxic, __keep and the site rates."""
     evidence = fit(docs, labels, most_labelled, id_column=id_column, text_column=text_column)
-    site = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias
-    keyed = docs.select(F.col(id_column), F.col(text_column).alias("__text"), site(host_column)("__host"), site(path_column)("__path"))
+    site = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    keyed = docs.select(F.col(id_column), F.col(text_column).alias("__text"), site(host_column).alias("__host"), site(path_column).alias("__path"))
     slim = materialise(with_evidence(keyed, evidence, "__text", carry=False), "evidence")
     sites = site_posteriors(slim, evidence)
-    rows = slim
-    if carry:
-        rows = with_evidence(docs.withColumns({"__host": site(host_column)("__host"), "__path": site(path_column)("__path")}), evidence, text_column)
+    rows = with_evidence(docs.withColumns({"__host": site(host_column), "__path": site(path_column)}), evidence, text_column) if carry else slim
     few = sites.table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    joined = rows.join(F.broadcast(sites.table) if few else sites.table, ["__host", "__path"])
+    rates = sites.table.select("__host", "__path", *(F.col(c).alias(f"__{c}") for c in SITE_RATES))
+    joined = rows.join(F.broadcast(rates) if few else rates, ["__host", "__path"])
     limit = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
-    p_good = _sigmoid(F.col("__good") + _logit(limit("path_good")) - _logit(F.lit(min(max(sites.good, 1e-6), 1 - 1e-6))))
-    p_toxic = _sigmoid(F.col("__toxic") + _logit(limit("path_toxic")) - _logit(F.lit(min(max(sites.toxic, 1e-6), 1 - 1e-6))))
+    bound = lambda p: min(max(p, 1e-6), 1 - 1e-6)
+    p_good = _sigmoid(F.col("__good") + _logit(limit("__path_good")) - _logit(F.lit(bound(sites.good))))
+    p_toxic = _sigmoid(F.col("__toxic") + _logit(limit("__path_toxic")) - _logit(F.lit(bound(sites.toxic))))
     out = joined.withColumns({"__p_good": p_good, "__p_toxic": p_toxic})
-    keep = (F.col("__p_good") >= 0.5) & (F.col("__p_toxic") < 0.5)
-    base = docs.columns if carry else [id_column]
-    extra = {"p_good": F.col("__p_good"), "p_toxic": F.col("__p_toxic"), "host_good": F.col("host_good"), "path_good": F.col("path_good"), "host_toxic": F.col("host_toxic"), "path_toxic": F.col("path_toxic"), "keep": keep}
-    return out.select(*base, *(v.alias(k if k not in base else f"{k}_of_classifier") for k, v in extra.items()))
+    return out.withColumn("__keep", (F.col("__p_good") >= 0.5) & (F.col("__p_toxic") < 0.5))
+
+
+SITE_RATES = ("host_good", "path_good", "host_toxic", "path_toxic")
+
+
+def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, host_column: str = "source", path_column: str = "lang", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, p_good, p_toxic, host_good, path_good, host_toxic, path_toxic, keep) for each row."""
+    out = _judged(docs, labels, most_labelled, host_column, path_column, id_column, text_column, carry=False)
+    return out.select(id_column, *(F.col(f"__{c}").alias(c) for c in ("p_good", "p_toxic", *SITE_RATES, "keep")))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, host_column: str = "source", path_column: str = "lang", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps."""
+    out = _judged(docs, labels, most_labelled, host_column, path_column, id_column, text_column, carry=True)
+    return out.where("__keep").select(*docs.columns)

@@ -41,7 +41,7 @@ def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_site_shrunken_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
-    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), carry=False)
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op6_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,15 +191,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     ordered.mapInArrow(shards, SCHEMA.format(kind=kind)).write.option("compression", "zstd").parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, from the files."""
-    table = spark.read.parquet(path)
+def read_shards(spark: SparkSession, path: str, id_column: str = "doc_id", kind: str = "bigint") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document, from the files; ``kind`` is the id's type."""
+    table = spark.read.schema(SCHEMA.format(kind=kind)).parquet(path)
     # A row for each shard: its place among all ids.  Parts are summed first, so that no window sees all shards.
     per_part = table.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = table.select("part", "shard", "n_tokens").withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     starts = starts.join(per_part, "part").select("part", "shard", (F.col("base") + F.col("inner")).alias("first"))
-    kind = table.schema["doc_ids"].dataType.elementType.simpleString()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,4 +225,5 @@ def token_file(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "wavelet")
     write_shards(docs, path, **options)
-    return read_shards(spark, path, options.get("id_column", "doc_id"))
+    id_column = options.get("id_column", "doc_id")
+    return read_shards(spark, path, id_column, docs.schema[id_column].dataType.simpleString())
