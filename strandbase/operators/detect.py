@@ -61,7 +61,10 @@ EMAIL = Detector(
 )
 
 _MD5 = "md5('x' || o_orderkey)"
-_md5 = F.md5(F.concat(F.lit("x"), F.col("o_orderkey").cast("string")).cast("binary"))
+
+
+def _md5() -> Column:
+    return F.md5(F.concat(F.lit("x"), F.col("o_orderkey").cast("string")).cast("binary"))
 
 
 def _orders(spark, d, column: Column) -> DataFrame:
@@ -81,7 +84,7 @@ _DNA_SQL = f"list_reduce(list_transform(range(1, 10), lambda i: substring('acgt'
     f"WITH v AS (SELECT o_orderkey, {_DNA_SQL} AS value FROM orders) SELECT o_orderkey, CAST(list_reduce(list_transform(range(1, 10), lambda i: strpos('acgt', substring(value, i, 1)) - 1), lambda a, b: a * 4 + b) AS BIGINT) AS code FROM v",
 )
 def d2(spark, d):
-    letters = F.translate(F.substring(_md5, 1, 9), "0123456789abcdef", "cgtacgtacgtacgta")
+    letters = F.translate(F.substring(_md5(), 1, 9), "0123456789abcdef", "cgtacgtacgtacgta")
     return DNA.project(_orders(spark, d, letters), "value").select("o_orderkey", "code")
 
 
@@ -90,7 +93,7 @@ def d2(spark, d):
     f"SELECT o_orderkey, CAST(list_reduce(list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substring({_MD5}, i, 1)) - 1), lambda a, b: a * 16 + b) AS BIGINT) AS number, true AS exact FROM orders",
 )
 def d3(spark, d):
-    value = F.upper(F.regexp_replace(F.substring(_md5, 1, 8), "^0+(?=.)", ""))
+    value = F.upper(F.regexp_replace(F.substring(_md5(), 1, 8), "^0+(?=.)", ""))
     return HEX.project(_orders(spark, d, value), "value").select("o_orderkey", "number", (F.hex("number") == F.col("value")).alias("exact"))
 
 
@@ -102,7 +105,7 @@ def positional_mask(df: DataFrame, column: str) -> DataFrame:
 
 @query("d4_positional_template", f"WITH v AS (SELECT substring({_MD5}, 1, 8) || '-4fix-' || substring({_MD5}, 9, 4) AS u FROM orders) SELECT CAST(i AS INTEGER) AS pos, count(DISTINCT substring(u, CAST(i AS INT), 1)) AS n_distinct, min(substring(u, CAST(i AS INT), 1)) AS least FROM v, (SELECT unnest(range(1, 19)) AS i) GROUP BY i")
 def d4(spark, d):
-    value = F.concat(F.substring(_md5, 1, 8), F.lit("-4fix-"), F.substring(_md5, 9, 4))
+    value = F.concat(F.substring(_md5(), 1, 8), F.lit("-4fix-"), F.substring(_md5(), 9, 4))
     return positional_mask(_orders(spark, d, value), "value")
 
 
@@ -146,7 +149,7 @@ def d5g(spark, d):
     f"WITH v AS (SELECT o_orderkey, substring({_MD5}, 1, 8) || '-' || substring({_MD5}, 9, 4) || '-' || substring({_MD5}, 13, 4) || '-' || substring({_MD5}, 17, 4) || '-' || substring({_MD5}, 21, 12) AS u FROM orders) SELECT o_orderkey, CASE WHEN regexp_matches(u, '^.{{14}}4.{{4}}[89ab]') THEN 'packed' ELSE 'exception' END AS part, CASE WHEN regexp_matches(u, '^.{{14}}4.{{4}}[89ab]') THEN replace(substring(u, 1, 14) || substring(u, 16), '-', '') ELSE u END AS stored FROM v",
 )
 def d6(spark, d):
-    u = F.concat_ws("-", F.substring(_md5, 1, 8), F.substring(_md5, 9, 4), F.substring(_md5, 13, 4), F.substring(_md5, 17, 4), F.substring(_md5, 21, 12))
+    u = F.concat_ws("-", F.substring(_md5(), 1, 8), F.substring(_md5(), 9, 4), F.substring(_md5(), 13, 4), F.substring(_md5(), 17, 4), F.substring(_md5(), 21, 12))
     rows = _orders(spark, d, u)
     v4 = F.col("value").rlike("^.{14}4.{4}[89ab]")
     packed = F.replace(F.concat(F.substring("value", 1, 14), F.substring("value", 16, 100)), F.lit("-"), F.lit(""))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,10 +203,6 @@ def mutations(df: DataFrame, row_id: str, packed: str) -> DataFrame:
 @query("m22_corruption_cases")
 def m22(spark, d):
     """Every mutated block must fail to unpack or give other bytes: never the original without notice."""
-    import zlib
-
-    import pandas as pd
-
     from .match import packed_blocks
 
     @F.pandas_udf("string")
