@@ -68,6 +68,7 @@ class Block:
 def _features(tag: str, attrs: str) -> frozenset:
     names = [w for m in _NAMES.finditer(attrs) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", next(g for g in m.groups() if g is not None)).lower()) if w]
     found = {f"<{tag}>", *(f".{w}" for w in names)}
+    found |= {f".{stem}" for w in names for stem in _STEMS if stem in w}
     if _HIDDEN.search(attrs):
         found.add(".hidden")
     return frozenset(found)
@@ -153,7 +154,7 @@ def block_features(block: Block) -> set[str]:
     return {*block.context, f"linked{min(3, int(share * 4))}", f"words{min(5, int(np.log2(block.words)))}"}
 
 
-# Labelled pages ---------------------------------------------------------------------------------------------------
+# Labelled pages, by rule ---------------------------------------------------------------------------------------------------
 
 #: Names that elements of a kind carry: content first, then what surrounds it.
 CONTENT_NAMES = ["content", "article", "article body", "post", "post content", "post body", "entry content", "main", "main content", "story", "story body", "text", "body", "page content", "prose", "markdown", "single post", "hentry"]
@@ -162,15 +163,19 @@ AROUND = {
     "header": (["header", "div", "section"], ["header", "site header", "masthead", "banner", "logo", "branding", "top", "hero bar", "page header", "site title", "tagline"]),
     "footer": (["footer", "div", "section"], ["footer", "site footer", "copyright", "legal", "bottom", "colophon", "page footer", "contact", "imprint"]),
     "sidebar": (["aside", "div", "section"], ["sidebar", "side bar", "aside", "widget", "widgets", "related", "related posts", "recommended", "popular", "trending", "more stories", "author box", "rail", "secondary"]),
-    "notice": (["div", "section", "aside", "dialog"], ["notice", "cookie", "cookie banner", "consent", "gdpr", "alert", "popup", "modal", "overlay", "message", "privacy", "paywall", "warning", "info bar", "disclaimer"]),
-    "advert": (["div", "aside", "ins", "section"], ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner ad", "ad slot", "adsbygoogle", "teaser", "partner"]),
+    "notice": (["div", "section", "aside", "dialog"], ["notice", "cookie", "cookie banner", "cookie bar", "consent", "gdpr", "alert", "popup", "modal", "overlay", "message", "privacy", "paywall", "warning", "info bar", "disclaimer"]),
+    "advert": (["div", "aside", "ins", "section"], ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner ad", "ad slot", "adbox", "adsbygoogle", "teaser", "partner"]),
     "form": (["form", "div", "section"], ["form", "search", "search form", "newsletter", "subscribe", "signup", "sign up", "login", "contact form", "poll", "feedback"]),
     "share": (["div", "ul", "section"], ["share", "sharing", "social", "social links", "share buttons", "follow", "toolbar", "actions", "meta"]),
     "comments": (["section", "div", "ol", "ul", "article", "aside"], ["comments", "comment", "comment list", "reader comments", "respond", "reply", "discussion", "disqus", "responses", "user comments", "feedback list", "reviews"]),
 }
 
 
-def labelled_pages(number: int = 500, seed: int = 7) -> Iterator[list[tuple[str, bool | None]]]:
+#: Long enough to be told inside another word, as in "cookiebar".
+_STEMS = {w for names in (CONTENT_NAMES, *(n for _, n in AROUND.values())) for name in names for w in name.split() if len(w) >= 5}
+
+
+def labelled_pages(number: int = 700, seed: int = 7) -> Iterator[list[tuple[str, bool | None]]]:
     """Pages as pieces of html, each with whether its words are main text (None: markup alone)."""
     rnd = random.Random(seed)
     words = lambda n: " ".join("".join(rnd.choice("aeioubcdlmnprst") for _ in range(rnd.randint(1, 9))) for _ in range(n))
@@ -201,12 +206,12 @@ def labelled_pages(number: int = 500, seed: int = 7) -> Iterator[list[tuple[str,
         page: list[tuple[str, bool | None]] = [("<html><body>", None)]
         for kind in rnd.sample(["notice", "header", "menu", "advert", "form"], rnd.randint(1, 4)):
             page += around(kind)
-        wrap = rnd.random() < 0.4
-        page.append((f"<div{name(['container', 'wrapper', 'page', 'layout', 'row', 'site', 'inner'])}>" if wrap else "", None))
+        wrap = rnd.choice(["div", "main", "section", "", "", ""])
+        page.append((f"<{wrap}{name(['container', 'wrapper', 'page', 'layout', 'row', 'site', 'inner', 'main', 'primary', 'col'])}>" if wrap == "div" else f"<{wrap}>" if wrap else "", None))
         style = rnd.random()
-        tag = "article" if style < 0.4 else "main" if style < 0.55 else rnd.choice(["div", "section", "td"])
-        attrs = name(CONTENT_NAMES) if tag in ("div", "section") or rnd.random() < 0.4 else ""
-        page.append((f"<{tag}{attrs}>", None))
+        tag = "article" if style < 0.4 else "main" if style < 0.55 else "" if style < 0.67 else rnd.choice(["div", "section", "td"])
+        attrs = name(CONTENT_NAMES) if tag in ("div", "section") and rnd.random() < 0.9 or rnd.random() < 0.4 else ""
+        page.append((f"<{tag}{attrs}>" if tag else "", None))
         if rnd.random() < 0.7:
             head = f"<h1>{words(rnd.randint(2, 12))}</h1>"
             page.append((f"<header>{head}</header>" if rnd.random() < 0.15 else head, True))
@@ -221,17 +226,21 @@ def labelled_pages(number: int = 500, seed: int = 7) -> Iterator[list[tuple[str,
                 page.append((f"<h2>{words(rnd.randint(1, 8))}</h2>", True))
             elif t < 0.92:
                 page.append((f"<ul>{''.join(f'<li>{words(rnd.randint(1, 25))}</li>' for _ in range(rnd.randint(2, 6)))}</ul>", True))
-            elif t < 0.96:
+            elif t < 0.94:
+                page.append((f"<section><h2>{words(rnd.randint(1, 6))}</h2><p>{words(rnd.randint(3, 80))}</p><p>{words(rnd.randint(3, 80))}</p></section>", True))
+            elif t < 0.97:
                 page.append((f"<blockquote><p>{words(rnd.randint(3, 50))}</p></blockquote>", True))
             else:
                 page.append((f"<table><tr><td>{words(3)}</td><td>{words(2)}</td></tr></table>", True))
             if rnd.random() < 0.12:
-                page += around(rnd.choice(["advert", "form", "share", "sidebar", "notice"]))
+                page += around(rnd.choice(["advert", "form", "share", "sidebar", "notice", "footer"]))
         if rnd.random() < 0.2:
             page += around("comments")
-        page.append((f"</{tag}>" + "</div>" * wrap, None))
+        outside = rnd.random() < 0.5  # what follows stands in the wrapper, too
+        page.append(((f"</{tag}>" if tag else "") + (f"</{wrap}>" if wrap and not outside else ""), None))
         for kind in rnd.sample(["sidebar", "comments", "share", "advert", "form", "menu"], rnd.randint(0, 4)) + ["footer"] * (rnd.random() < 0.9):
             page += around(kind)
+        page.append((f"</{wrap}>" if wrap and outside else "", None))
         page.append(("</body></html>", None))
         yield page
 
@@ -249,7 +258,7 @@ class Weights:
 
 
 @lru_cache(maxsize=2)
-def fit_weights(number: int = 500, seed: int = 7) -> Weights:
+def fit_weights(number: int = 700, seed: int = 7) -> Weights:
     """Learn the weights of words and tags from labelled pages."""
     rows: list[tuple[set[str], bool]] = []
     inside, outside = Counter(), Counter()
