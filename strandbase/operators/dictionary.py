@@ -72,13 +72,15 @@ def merge_pairs(tokens: Column, pairs: dict[tuple[int, int], int]) -> Column:
     return F.aggregate(tokens, start, step, finish)
 
 
-def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int = 6, a_round: int = 16) -> tuple[DataFrame, list[tuple[int, int, int]], list[dict]]:
+def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int = 6, a_round: int = 16, longest: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]], list[dict]]:
     """Batched byte-pair merges: (tokenised rows, rules (a, b, id), cost after each round).
 
     A round counts pairs over all rows, takes the most frequent whose members don't
     overlap, and rewrites the rows; the table of rows is written between rounds.
+    ``longest`` bounds the characters that a token may stand for.
     """
     spark = df.sparkSession
+    width: dict[int, int] = {}
     tokens = df.select(row_id, F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")).alias("tokens"))
     rules: list[tuple[int, int, int]] = []
     ledger: list[dict] = []
@@ -94,8 +96,10 @@ def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int = 6, a_round:
         chosen: dict[tuple[int, int], int] = {}
         lefts, rights = set(), set()
         for r in best:
-            if r.n >= 2 and r.a not in rights and r.b not in lefts and len(chosen) < a_round:
+            size = width.get(r.a, 1) + width.get(r.b, 1)
+            if r.n >= 2 and r.a not in rights and r.b not in lefts and len(chosen) < a_round and (longest is None or size <= longest):
                 chosen[r.a, r.b] = 0x110000 + len(rules)
+                width[0x110000 + len(rules)] = size
                 rules.append((r.a, r.b, 0x110000 + len(rules)))
                 lefts.add(r.a)
                 rights.add(r.b)
@@ -246,8 +250,8 @@ def x22(spark, d):
 def x8(spark, d):
     _, _, ledger = byte_pairs(table(spark, d, "part"), "p_partkey", "p_name", rounds=4)
     rows = spark.createDataFrame([(r["round"], r["tokens"], r["rules"], r["cost"]) for r in ledger], "round int, tokens long, rules int, cost long")
-    best = rows.agg(F.min_by("round", F.struct("cost", "round")).alias("best"))
-    return rows.crossJoin(best).withColumn("best", F.col("round") == F.col("best"))
+    best = F.min(F.struct("cost", "round")).over(Window.partitionBy())  # a row a round
+    return rows.withColumn("best", F.col("round") == best["round"])
 
 
 def fragments(df: DataFrame, text: str, lengths: list[int], stride: int, top: int) -> DataFrame:
@@ -343,6 +347,17 @@ def x21(spark, d):
     return global_rank(n, -F.col("n"), [F.desc("n"), "v"], "id").select("v", (F.col("id") - 1).cast("long").alias("id"))
 
 
+@query("x23_bounded_pair_dictionary", "SELECT s_suppkey, s_name AS text, true AS bounded FROM supplier")
+def x23(spark, d):
+    """Pair merges whose tokens stand for at most 16 characters."""
+    tokens, rules, _ = byte_pairs(table(spark, d, "supplier"), "s_suppkey", "s_name", rounds=5, longest=16)
+    size: dict[int, int] = {}
+    for a, b, c in rules:
+        size[c] = size.get(a, 1) + size.get(b, 1)
+    grammar = spark.createDataFrame([(c, a, b) for a, b, c in rules], "id long, a long, b long")
+    return expand(tokens, grammar, "s_suppkey").withColumn("bounded", F.lit(max(size.values(), default=0) <= 16))
+
+
 @query(
     "x24_context_classes",
     "WITH b AS (SELECT substring(p_name, CAST(i - 1 AS INT), 1) AS a, substring(p_name, CAST(i AS INT), 1) AS b FROM (SELECT p_name, unnest(range(2, length(p_name) + 1)) AS i FROM part)) SELECT CASE WHEN regexp_matches(a, '[a-z]') THEN 'lower' WHEN regexp_matches(a, '[A-Z]') THEN 'upper' WHEN regexp_matches(a, '[0-9]') THEN 'digit' WHEN a = ' ' THEN 'space' ELSE 'other' END AS context, b AS sym, count(*) AS n FROM b GROUP BY ALL",

@@ -51,9 +51,14 @@ def j2(spark, d):
 
 def split_gain(df: DataFrame, field: str, value: str, most: int = 64) -> DataFrame:
     """(distinct, whole_bits, split_bits, split): whether partitioning on a field of few values makes another column cheaper."""
-    whole = df.agg(F.countDistinct(field).alias("distinct"), (F.count("*") * bit_width(F.max(value) - F.min(value))).cast("long").alias("whole_bits"))
-    parts = df.groupBy(field).agg((F.count("*") * bit_width(F.max(value) - F.min(value))).alias("bits")).agg((F.sum("bits") + F.count("*") * 64).cast("long").alias("split_bits"))
-    return whole.crossJoin(F.broadcast(parts)).withColumn("split", (F.col("distinct") <= most) & (F.col("split_bits") < F.col("whole_bits")))
+    parts = df.groupBy(field).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    bits = lambda n, most_, least: n * bit_width(most_ - least)
+    one = parts.agg(
+        F.count("*").alias("distinct"),
+        bits(F.sum("n"), F.max("most"), F.min("least")).cast("long").alias("whole_bits"),
+        (F.sum(bits(F.col("n"), F.col("most"), F.col("least"))) + F.count("*") * 64).cast("long").alias("split_bits"),
+    )
+    return one.withColumn("split", (F.col("distinct") <= most) & (F.col("split_bits") < F.col("whole_bits")))
 
 
 _BITS = "CASE WHEN max(v) = min(v) THEN 0 ELSE length(bin(max(v) - min(v))) END"
