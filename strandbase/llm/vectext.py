@@ -34,7 +34,7 @@ def powers(n: int, which: str = "up") -> np.ndarray:
     have = _powers[which]
     if len(have) < n:
         base = _BASE if which == "up" else _INVERSE
-        size = max(n, 1 << 16, 2 * len(have))
+        size = -(-n // (1 << 18)) * (1 << 18)
         have = np.full(size, base, U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
@@ -87,7 +87,7 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` text bytes, one row at least."""
     _, offsets = string_parts(batch.column(column))
     at, n = 0, batch.num_rows
