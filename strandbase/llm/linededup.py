@@ -205,8 +205,12 @@ def earliest_matches(lines: DataFrame, threshold: float) -> DataFrame:
 
     slim = firsts.select("sig", "n", "skipped", "shared").mapInArrow(prefix, "token long, sig long, position int")
     slim = materialise(slim, "line-prefixes")
-    # Tokens of one token set only are of no use, however often that line is repeated.
-    many = slim.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").withColumn("grid", F.ceil(F.sqrt(F.col("k") / HOT)).cast("int"))
+    # Tokens of one token set only are of no use, however often that line is repeated.  Tokens that the same
+    # sets share lead to the same comparisons: of these the first in the common order stands for all (it is
+    # the first that any two of the sets share, which the positional bound needs).
+    digest = [F.sum(F.xxhash64("sig", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    alike = slim.groupBy("token").agg(F.count("*").alias("k"), F.min("position").alias("position"), *digest).where("k > 1")
+    many = alike.groupBy("k", "h1", "h2").agg(F.min(F.struct("position", "token"))["token"].alias("token")).withColumn("grid", F.ceil(F.sqrt(F.col("k") / HOT)).cast("int"))
     dealt = slim.join(many.select("token", "grid"), "token").join(firsts, "sig")
     mine = F.pmod(F.xxhash64("sig"), F.col("grid")).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.col("grid") - 1))
@@ -239,7 +243,8 @@ def earliest_matches(lines: DataFrame, threshold: float) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     better = reduce_shards(grid, parts, merge, ["token", "salt"], f"sig long, id {kind}, tie long, line int")
     both = better.select("sig", place.alias("best")).unionByName(firsts.select("sig", F.col("first").alias("best")))
-    return both.groupBy("sig").agg(F.min("best").alias("best"))
+    # Written out: Spark can then split a line that is repeated very often in the join that follows.
+    return materialise(both.groupBy("sig").agg(F.min("best").alias("best")), "line-best")
 
 
 def removed_lines(docs: DataFrame, path: str, shingle: int, threshold: float) -> Shards:
