@@ -58,21 +58,39 @@ def shifted(tokens: np.ndarray, offsets: np.ndarray, back: int) -> np.ndarray:
     return out
 
 
+def _planes(ascending: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as the byte planes of their differences: high planes are zeros, which shuffles compress away."""
+    return np.ascontiguousarray(np.diff(ascending, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(U64), dtype=U64)
+
+
 def pack_block(columns: list[np.ndarray], counts: np.ndarray) -> dict:
-    """n-grams as places in a dictionary of their hashes: words repeat, so this is half the size."""
+    """Distinct n-grams as sorted numbers, whose digits are places in a dictionary of their words' hashes."""
     distinct, place = np.unique(np.concatenate(columns), return_inverse=True)
-    kind = np.uint16 if len(distinct) <= 1 << 16 else np.uint32
-    return {"words": distinct.tobytes(), "places": place.astype(kind).tobytes(), "counts": counts.astype(np.uint8 if counts.max() < 256 else np.uint64).tobytes(), "rows": len(counts)}
+    place = place.reshape(len(columns), -1).astype(U64)
+    base = len(distinct)
+    if base ** len(columns) >= 1 << 63:
+        raise ValueError("too many words in one block for n-grams of this order: flush smaller blocks")
+    code = place[0]
+    for digits in place[1:]:
+        code = code * U64(base) + digits
+    order = np.argsort(code)
+    kind = np.uint8 if counts.max() < 256 else np.uint64
+    return {"words": _planes(distinct), "places": _planes(code[order]), "counts": counts[order].astype(kind).tobytes(), "rows": len(counts)}
 
 
 def unpack_blocks(rows: list[dict], width: int) -> tuple[list[np.ndarray], np.ndarray]:
     columns: list[list[np.ndarray]] = [[] for _ in range(width)]
     counts = []
     for r in rows:
-        words, n = np.frombuffer(r["words"], U64), r["rows"]
-        places = np.frombuffer(r["places"], np.uint16 if len(r["places"]) == 2 * n * width else np.uint32)
-        for k in range(width):
-            columns[k].append(words[places[k * n : (k + 1) * n]])
+        words, code, n = _from_planes(r["words"]), _from_planes(r["places"]), r["rows"]
+        for k in range(width - 1, -1, -1):
+            code, digit = np.divmod(code, U64(len(words)))
+            columns[k].append(words[digit.astype(np.int64)])
         counts.append(np.frombuffer(r["counts"], np.uint8 if len(r["counts"]) == n else np.uint64).astype(np.int64))
     return [np.concatenate(c) for c in columns], np.concatenate(counts)
 
@@ -166,8 +184,8 @@ def train(docs: DataFrame, order: int = 2, text_column: str = "text") -> Model:
     def merge(key: tuple, rows: list[dict]) -> Iterator[dict]:
         kind, level, shard = key
         if kind == "c":
-            keys = np.concatenate([np.frombuffer(r["words"], U64) for r in rows])
-            stats = np.concatenate([np.frombuffer(r["extra"], np.int64).reshape(-1, 4) for r in rows])
+            keys = np.concatenate([_from_planes(r["words"]) for r in rows])
+            stats = np.concatenate([np.frombuffer(r["extra"], np.int64).reshape(4, -1).T for r in rows])
             order_ = np.argsort(keys, kind="stable")
             keys = keys[order_]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -190,7 +208,7 @@ def train(docs: DataFrame, order: int = 2, text_column: str = "text") -> Model:
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         stats = np.stack([np.add.reduceat(x, first) for x in (counts, (counts == 1) * 1, (counts == 2) * 1, (counts > 2) * 1)], 1).astype(np.int64)
         for s, a, b in cuts(context[first], bits):
-            yield {"kind": "c", "level": level, "shard": s, "words": context[first][a:b].tobytes(), "extra": stats[a:b].tobytes(), "rows": b - a}
+            yield {"kind": "c", "level": level, "shard": s, "words": _planes(context[first][a:b]), "extra": np.ascontiguousarray(stats[a:b].T).tobytes(), "rows": b - a}
 
     keys = ["kind", "level", "shard"]
     done = []
