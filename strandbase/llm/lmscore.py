@@ -37,7 +37,7 @@ U64 = np.uint64
 END = U64(0x9AE16A3B2F90404F)
 BEGIN = U64(0xC949C7DEFA7A3F1D)
 FLUSH = 1 << 21
-SHARD_KEYS = 1 << 22
+SHARD_KEYS = 1 << 21
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
