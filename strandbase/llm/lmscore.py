@@ -68,19 +68,24 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(U64), dtype=U64)
 
 
-def pack_block(columns: list[np.ndarray], counts: np.ndarray) -> dict:
-    """Distinct n-grams as sorted numbers, whose digits are places in a dictionary of their words' hashes."""
+def pack_blocks(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[dict]:
+    """Distinct n-grams as sorted numbers, whose digits are places in a dictionary of their words' hashes; in halves where the numbers would pass 63 bits."""
     distinct, place = np.unique(np.concatenate(columns), return_inverse=True)
     place = place.reshape(len(columns), -1).astype(U64)
     base = len(distinct)
     if base ** len(columns) >= 1 << 63:
-        raise ValueError("too many words in one block for n-grams of this order: flush smaller blocks")
+        half = len(counts) // 2
+        if not half:
+            raise ValueError("one n-gram of this order has too many words for 63 bits")
+        for part in (slice(half), slice(half, None)):
+            yield from pack_blocks([c[part] for c in columns], counts[part])
+        return
     code = place[0]
     for digits in place[1:]:
         code = code * U64(base) + digits
     order = np.argsort(code)
     kind = np.uint8 if counts.max() < 256 else np.uint64
-    return {"words": _planes(distinct), "places": _planes(code[order]), "counts": counts[order].astype(kind).tobytes(), "rows": len(counts)}
+    yield {"words": _planes(distinct), "places": _planes(code[order]), "counts": counts[order].astype(kind).tobytes(), "rows": len(counts)}
 
 
 def unpack_blocks(rows: list[dict], width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -100,11 +105,12 @@ STATS = BLOCKS + ", extra binary, total long, n1 long, n2 long, n3 long, n4 long
 
 
 def ngram_blocks(columns: list[np.ndarray], counts: np.ndarray | None, kind: str, level: int, bits: int) -> Iterator[dict]:
-    """One block for each shard, equal n-grams summed."""
+    """The blocks of each shard, one if it can be, equal n-grams summed."""
     keys, first, total = count_sorted(combine(*columns), counts)
     columns = [c[first] for c in columns]
     for shard, a, b in cuts(keys, bits):
-        yield {"kind": kind, "level": level, "shard": shard} | pack_block([c[a:b] for c in columns], total[a:b])
+        for block in pack_blocks([c[a:b] for c in columns], total[a:b]):
+            yield {"kind": kind, "level": level, "shard": shard} | block
 
 
 @dataclass
@@ -150,7 +156,7 @@ def discounts_from(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, fl
     return tuple(min(max(d, 0.05), k + 0.95) for k, d in enumerate(found))
 
 
-def train(docs: DataFrame, order: int = 2, text_column: str = "text") -> Model:
+def train(docs: DataFrame, order: int = 3, text_column: str = "text") -> Model:
     """Count a model from all rows of ``docs``."""
     if order < 2:
         raise ValueError("the order is 2 or more")
@@ -271,7 +277,7 @@ def held_out(id_column: str = "doc_id", folds: int = 7, fold: int = 2):
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def score_held_out(docs: DataFrame, order: int = 2) -> DataFrame:
+def score_held_out(docs: DataFrame, order: int = 3) -> DataFrame:
     """Learn from all documents but one fold, score all: see ``score``; adds ``held_out``."""
     slim = docs.select("doc_id", "text", held_out().alias("held_out"))
     model = train(slim.where("not held_out"), order)

@@ -76,6 +76,26 @@ def test_op1_probabilities_sum_to_one(spark, docs):
     assert math.isclose(sum(p), 1.0, rel_tol=1e-9)
 
 
+def test_op1_query_has_two_words_of_context(spark, sf_dir):
+    from strandbase.llm.lmscore import discounts_from
+    from strandbase.llm.queries import QUERIES
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    expected = brute.kneser_ney([r.text for r in rows], [i for i, r in enumerate(rows) if brute.crc_fold(r.doc_id) != 2], 3, discounts_from)
+    got = {r.doc_id: r.score for r in QUERIES["op1_kneser_ney_scores"](spark, sf_dir).collect()}
+    assert len(got) == len(rows) and all(math.isclose(got[r.doc_id], full, rel_tol=1e-6) for r, (_, full, *_) in zip(rows, expected, strict=True))
+
+
+def test_op1_blocks_with_more_words_than_a_number_holds():
+    from strandbase.llm.lmscore import pack_blocks, unpack_blocks
+
+    columns = list(np.random.default_rng(1).permutation(2_100_000).astype(np.uint64).reshape(3, -1))
+    counts = np.arange(len(columns[0])) % 300 + 1
+    blocks = list(pack_blocks(columns, counts))
+    back, n = unpack_blocks(blocks, 3)
+    assert len(blocks) == 2 and sorted(zip(*back, n, strict=True)) == sorted(zip(*columns, counts, strict=True))
+
+
 def test_op2(spark, docs, rows, empty):
     from strandbase.llm.media import audio_features, read_tensors, store_media
 
