@@ -11,6 +11,8 @@ positive blocks are the text.
 The labelled pages (``labelled_pages``) are written by rules: kinds of layout, each
 with the names that such elements carry, so that the labels are known exactly.
 
+Text in svg elements is left out, that of math elements is kept; either may be
+self-closing, or left open and ended by the next HTML tag that can't stand in it.
 Blocks are cut at block-level tags and line breaks; character references are
 decoded, white space in a block becomes one space, blocks are joined by one line
 feed.  Null or empty html, and pages without positive blocks, give the empty text;
@@ -37,10 +39,11 @@ from .quality import fit_logistic
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|select|textarea|title|audio|video|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|object|select|textarea|title|audio|video|canvas)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[a-zA-Z/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""display\s*:\s*none|aria-hidden\s*=\s*["']?true|\shidden(?:[\s=>]|$)""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -50,6 +53,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noframes ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Start tags that end an svg or math element left open.
+_BREAKS_OUT = (_BLOCK - {"title"}) | frozenset("b big code em embed i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
+#: Elements of svg that hold HTML.
+_HOLDS_HTML = frozenset(("foreignobject", "desc", "title"))
 _CLOSES_P = _BLOCK - {"br", "button", "label", "body", "html", "head"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -74,6 +81,45 @@ def _features(tag: str, attrs: str) -> frozenset:
     return frozenset(found)
 
 
+def _end_of_svg(page: str, at: int) -> int:
+    """Where the svg element whose content begins at ``at`` ends: after its end tag, or before the HTML that shows it was left open."""
+    depth, holders = 1, 0
+    left: int | None = None
+    for m in _MARKUP.finditer(page, at):
+        if m["tag"] is None:
+            continue
+        tag = m["tag"].lower()
+        if tag in _HOLDS_HTML:
+            if m["end"]:
+                holders = max(0, holders - 1)
+            elif not m["attrs"].endswith("/"):
+                holders += 1
+        elif tag == "svg":
+            if m["end"]:
+                depth -= 1
+                if not depth:
+                    return m.end()
+            elif not m["attrs"].endswith("/"):
+                depth += 1
+        elif tag in (_BLOCK if m["end"] else _BREAKS_OUT):
+            if not holders:
+                return m.start()
+            left = m.start() if left is None else left
+    return len(page) if left is None else left
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """The page's tokens; what stands in svg elements is left out."""
+    at: int | None = 0
+    while at is not None:
+        begin, at = at, None
+        for m in _TOKEN.finditer(page, begin):
+            yield m
+            if m["tag"] and not m["end"] and m["tag"].lower() == "svg" and not m["attrs"].endswith("/"):
+                at = _end_of_svg(page, m.end())
+                break
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, with what encloses them."""
     stack: list[tuple[str, frozenset]] = []
@@ -81,6 +127,7 @@ def blocks_of(page: str) -> list[Block]:
     text: list[str] = []
     tags: list[str] = []
     linked = 0
+    formulas = 0  # math elements that are open
 
     def context() -> frozenset:
         found: set = set()
@@ -102,7 +149,7 @@ def blocks_of(page: str) -> list[Block]:
             tags.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         if m["text"] is not None:
             piece = html.unescape(m["text"])
             text.append(piece)
@@ -117,6 +164,24 @@ def blocks_of(page: str) -> list[Block]:
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
+        if tag == "svg":
+            tags += [] if m["end"] else ["svg"]
+            continue
+        if formulas and tag in (_BLOCK if m["end"] else _BREAKS_OUT):
+            del stack[next(k for k, (t, _) in enumerate(stack) if t == "math") :]
+            formulas = 0
+        if tag == "math" and not m["end"]:
+            tags.append("math")
+            if not m["attrs"].endswith("/"):
+                stack.append(("math", frozenset()))
+                formulas += 1
+            continue
+        if formulas:
+            # A formula's text is kept, its markup isn't counted.
+            if tag == "math":
+                del stack[max(k for k, (t, _) in enumerate(stack) if t == "math") :]
+                formulas -= 1
+            continue
         if tag in _BLOCK:
             close()
         tags.append(tag)

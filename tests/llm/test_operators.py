@@ -404,3 +404,27 @@ def test_wavelet_matrix():
     assert w.select(5, 10**6) == -1 and w.rank(299, 3000) == (v == 299).sum()
     for n in (0, 1, 512, 513):
         assert WaveletMatrix.from_buffer(WaveletMatrix.build(v[:n], 9).to_bytes()).values().tolist() == v[:n].tolist()
+
+
+def test_op3_svg_and_math():
+    from strandbase.llm.htmltext import blocks_of, extract, fit_weights
+
+    first, second = "the first of the words " * 6, "the second of the words " * 6
+    page = "<html><body>{}<article><p>{}</p>{}<p>{}</p></article><footer class=footer>{}me</footer></body></html>".format
+    plain = extract(page("", first, "", second, ""), fit_weights())
+    assert plain == f"{first.strip()}\n{second.strip()}"
+    icons = ["<svg/>", '<svg class="icon" width="9"/>', '<SVG data-x="a>b" />', "<math/>", "<svg><title/><style/><svg></svg><text>no</text></svg>", "<svg><foreignObject><p>no</p></foreignObject></svg>", '<svg viewBox="0 0 9 9"><path d="M0">', "<svg><title>no</title><g>", "<math><mi>"]
+    for icon in icons:
+        assert extract(page(icon, first, "", second, icon), fit_weights()) == plain
+        assert extract(page("", first, icon, second, icon), fit_weights()) == plain
+        assert [b.text for b in blocks_of(f"<p>a {icon}</p><p>b")] == ["a", "b"]
+    formula = '<math display="inline"><mi>x</mi><mo>=</mo><mn>2</mn></math>'
+    assert [b.text for b in blocks_of(f"<p>so {formula} holds</p><p>b <math/>c")] == ["so x=2 holds", "b c"]
+    assert extract(page("", first + formula * 30, "", second, ""), fit_weights()) == f"{first}{'x=2' * 30}\n{second.strip()}"
+
+
+def test_op3_pages_without_closed_svg_in_one_run():
+    from strandbase.llm.htmltext import blocks_of
+
+    assert [b.text for b in blocks_of("<a><svg/>one</a> two <svg viewBox='0'/> three")] == ["one two three"]
+    assert [b.text for b in blocks_of("a <svg><desc>x")] == ["a"]
