@@ -44,6 +44,24 @@ def block_take(rows: DataFrame, ids: DataFrame, row_id: str = "row_id", size: in
     return blocked.join(blocks, "block", "left_semi").join(ids, row_id, "left_semi")
 
 
+def span_take(rows: DataFrame, ids: DataFrame, row_id: str = "row_id", value: str = "value", size: int = 64) -> DataFrame:
+    """(row_id, start, n_bytes, value): whole rows cut out of their payload by offsets, which count all rows.
+
+    The payload is the values one after another, in blocks of ``size`` ids; only blocks
+    that hold a wanted row are put together.  A null value is an empty row.
+    """
+    n = F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    block = F.floor(F.col(row_id) / size)
+    spans = running_sum(rows.select(row_id, n.alias("n_bytes")), block_of(row_id), [row_id], F.col("n_bytes"), "start").withColumn("block", block)
+    bases = spans.groupBy("block").agg(F.min("start").alias("base"))
+    hit = spans.join(ids.select(row_id).distinct(), row_id, "left_semi").join(bases, "block")
+    blocked = rows.select(row_id, value, block.alias("block")).join(hit.select("block").distinct(), "block", "left_semi")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(row_id), F.col(value).alias("v")))), lambda x: x["v"])
+    payloads = blocked.groupBy("block").agg(F.array_join(ordered, "").cast("binary").alias("payload"))
+    piece = F.substring(F.col("payload"), (F.col("start") - F.col("base") + 1).cast("int"), F.col("n_bytes").cast("int"))
+    return hit.join(payloads, "block").select(row_id, "start", "n_bytes", piece.cast("string").alias(value))
+
+
 def checkpoints(rows: DataFrame, row_id: str, value: str, every: int = 32) -> DataFrame:
     """Each row's offset as its block's absolute offset and the offset inside the block."""
     size = F.octet_length(value).cast("long")
@@ -122,6 +140,16 @@ def r8(spark, d):
     return table(spark, d, "documents").where("doc_id % 7 = 3").select("doc_id", F.md5(F.substring("text", 11, 20).cast("binary")).alias("piece"))
 
 
+@query(
+    "r8b_offset_span_take",
+    """WITH o AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    s AS (SELECT doc_id, text, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM o)
+    SELECT doc_id, start, n_bytes, text FROM s WHERE doc_id IN (SELECT doc_id FROM labels)""",
+)
+def r8b(spark, d):
+    return span_take(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"), "doc_id", "text")
+
+
 @query("r9_selectivity_plan", f"WITH {_ROWS} SELECT row_id, {_OFFSET} AS \"offset\" FROM rows_")
 def r9(spark, d):
     rows = _names(spark, d)

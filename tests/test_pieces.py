@@ -64,3 +64,17 @@ def test_stream_gives_the_batch_rows(spark, sf_dir):
     folder = tempfile.mkdtemp(prefix="spark-events-")
     os.symlink(path, os.path.join(folder, "events.parquet"))
     assert sorted(tumbling_stream(spark, folder, "tumbled").collect()) == batch
+
+
+def test_span_take_cuts_whole_rows_by_offset(spark):
+    from strandbase.operators.select import span_take
+
+    texts = ["é" * (i % 5) + f"row {i}\n" if i % 11 else (None if i % 2 else "") for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, value string").repartition(7)
+    ids = spark.createDataFrame([(i * 37 % 310,) for i in range(40)] + [(0,), (0,), (11,), (299,)], "row_id long")
+    payload = b"".join((t or "").encode() for t in texts)
+    got = {r.row_id: r for r in span_take(rows, ids).collect()}
+    assert sorted(got) == sorted({i * 37 % 310 for i in range(40)} & set(range(300)) | {0, 11, 299})
+    for i, r in got.items():
+        assert r.start == sum(len((t or "").encode()) for t in texts[:i])
+        assert r.value.encode() == payload[r.start : r.start + r.n_bytes] == (texts[i] or "").encode()
