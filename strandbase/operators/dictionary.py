@@ -271,6 +271,15 @@ def x12(spark, d):
     return fragments(table(spark, d, "pages").select("url"), "url", [8, 12, 16, 24], 4, 200)
 
 
+@query(
+    "x12b_ngram_mining_six_lengths",
+    "WITH p AS (SELECT k AS length, substring(url, CAST(i AS INT), k) AS fragment FROM (SELECT url, k, unnest(range(1, length(url) - k + 2)) AS i FROM pages, (SELECT unnest([8, 12, 16, 24, 32, 48]) AS k) WHERE length(url) >= k)), c AS (SELECT length, fragment, count(*) AS n FROM p GROUP BY length, fragment), r AS (SELECT length, fragment, n, n * length AS score, row_number() OVER (PARTITION BY length ORDER BY n * length DESC, fragment) AS k FROM c WHERE n >= 2) SELECT length, fragment, n, score FROM r WHERE k <= 24000",
+)
+def x12b(spark, d):
+    """Pieces at every place, 24,000 a length."""
+    return fragments(table(spark, d, "pages").select("url"), "url", [8, 12, 16, 24, 32, 48], 1, 24_000)
+
+
 @query("x13_usage_and_prune", f"WITH {_DICT} SELECT dict.word, count(*) AS used, count(*) * octet_length(encode(dict.word)) AS score FROM w JOIN dict ON w.word = dict.word GROUP BY dict.word HAVING count(*) * octet_length(encode(dict.word)) >= 500")
 def x13(spark, d):
     dictionary = word_dictionary(_docs(spark, d), "doc_id", "text").select("word")

@@ -186,6 +186,26 @@ def r12(spark, d):
     return total.select("total", caps.alias("cap")).select("cap", F.when(F.col("total") <= F.col("cap"), F.col("total")).otherwise(F.lit(-1)).alias("written"))
 
 
+@query(
+    "r11b_validation_of_customers",
+    """SELECT count(CASE WHEN p > o_custkey THEN 1 END) AS unsorted, count(CASE WHEN o_custkey < 0 OR o_custkey >= (SELECT count(*) FROM customer) THEN 1 END) AS out_of_range
+    FROM (SELECT o_custkey, lag(o_custkey) OVER (ORDER BY o_orderkey) AS p FROM orders)""",
+)
+def r11b(spark, d):
+    return violations(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey", table(spark, d, "customer").count())
+
+
+@query(
+    "r12b_capacity_about_total",
+    """SELECT cap, CASE WHEN total <= cap THEN total ELSE -1 END AS written FROM (SELECT total, unnest([0, total - 1, total, total + 1, 2 * total]) AS cap FROM (SELECT CAST(sum(octet_length(encode(c_name))) AS BIGINT) AS total FROM customer))""",
+)
+def r12b(spark, d):
+    total = table(spark, d, "customer").agg(F.sum(F.octet_length("c_name")).cast("long").alias("total"))
+    t = F.col("total")
+    caps = F.explode(F.array(F.lit(0).cast("long"), t - 1, t, t + 1, t * 2))
+    return total.select("total", caps.alias("cap")).select("cap", F.when(t <= F.col("cap"), t).otherwise(F.lit(-1)).alias("written"))
+
+
 @query("r13_row_length", "SELECT octet_length(encode(url)) AS n_bytes, count(*) AS n_rows FROM pages GROUP BY ALL")
 def r13(spark, d):
     return table(spark, d, "pages").groupBy(F.octet_length("url").cast("long").alias("n_bytes")).agg(F.count("*").alias("n_rows"))

@@ -149,3 +149,25 @@ def s8(spark, d):
 def s9(spark, d):
     run = running_sum(lines(table(spark, d, "documents")), F.floor(F.col("doc_id") / 64), ["doc_id", "line_no"], (F.octet_length("line") + 1).cast("long"), "before")
     return run.where("before < 1000000").select("doc_id", "line_no", F.col("before").cast("long").alias("before"))
+
+
+_LINES = """SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(before AS BIGINT) AS before FROM (
+      SELECT doc_id, i - 1 AS line_no, coalesce(sum(octet_length(encode(line)) + 1) OVER (ORDER BY doc_id, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM (SELECT doc_id, unnest(ps) AS line, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)))"""
+
+
+def _lines_with_offset(spark, d) -> DataFrame:
+    run = running_sum(lines(table(spark, d, "documents")), block_of("doc_id", 64), ["doc_id", "line_no"], (F.octet_length("line") + 1).cast("long"), "before")
+    return run.select("doc_id", "line_no", F.col("before").cast("long").alias("before"))
+
+
+@query("s4b_scan_seven_megabytes", f"{_LINES} WHERE before <= 7000000")
+def s4b(spark, d):
+    """Lines until more than 7,000,000 bytes are read: the line that passes them is the last."""
+    return _lines_with_offset(spark, d).where("before <= 7000000")
+
+
+@query("s9b_hundred_megabyte_prefix", f"{_LINES} WHERE before < 100000000")
+def s9b(spark, d):
+    """Whole lines through the first that reaches 100 MB."""
+    return _lines_with_offset(spark, d).where("before < 100000000")

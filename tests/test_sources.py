@@ -1,3 +1,4 @@
+import itertools
 import io
 import tarfile
 import zipfile
@@ -61,3 +62,19 @@ def test_archives(spark, tmp_path):
         info.size = 4
         t.addfile(info, io.BytesIO(b"data"))
     assert [bytes(r.content) for r in read_members(spark, str(tmp_path / "t"), "tar").collect()] == [b"data"]
+
+
+def test_byte_limits_of_the_reference(spark):
+    import pyarrow.parquet as pq
+
+    from strandbase import registry
+
+    registry.load()
+    d = "/root/testdata/sf0.1"
+    docs = sorted(zip(*pq.read_table(f"{d}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values(), strict=True))
+    sizes = [len(line.encode()) + 1 for _, text in docs for line in text.split("\n")]
+    before = [0, *itertools.accumulate(sizes)][:-1]
+    assert before[-1] > 7_000_000
+    for name, expected in (("s4b_scan_seven_megabytes", [b for b in before if b <= 7_000_000]), ("s9b_hundred_megabyte_prefix", [b for b in before if b < 100_000_000])):
+        got = registry.QUERIES[name](spark, d).toPandas()["before"]
+        assert sorted(got) == expected
