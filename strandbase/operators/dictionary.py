@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,19 +74,21 @@ def merge_pairs(tokens: Column, pairs: dict[tuple[int, int], int]) -> Column:
     return F.aggregate(tokens, start, step, finish)
 
 
-def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int = 6, a_round: int = 16, longest: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]], list[dict]]:
+def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int | None = 6, a_round: int = 16, longest: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]], list[dict]]:
     """Batched byte-pair merges: (tokenised rows, rules (a, b, id), cost after each round).
 
     A round counts pairs over all rows, takes the most frequent whose members don't
     overlap, and rewrites the rows; the table of rows is written between rounds.
-    ``longest`` bounds the characters that a token may stand for.
+    ``longest`` bounds the characters that a token may stand for; pairs beyond it
+    aren't ranked, so the first pair of a round is always replaced and training ends
+    only after ``rounds`` or, without them, when no pair is left that occurs twice.
     """
     spark = df.sparkSession
     width: dict[int, int] = {}
     tokens = df.select(row_id, F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")).alias("tokens"))
     rules: list[tuple[int, int, int]] = []
     ledger: list[dict] = []
-    for number in range(rounds + 1):
+    for number in itertools.count():
         path = scratch(spark, "pairs")
         tokens.write.parquet(path)
         tokens = spark.read.schema(tokens.schema).parquet(path)
@@ -92,12 +96,17 @@ def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int = 6, a_round:
         ledger.append({"round": number, "tokens": int(used), "rules": len(rules), "cost": 2 * int(used) + 4 * len(rules)})
         if number == rounds:
             break
-        best = pair_counts(tokens, "tokens").orderBy(F.desc("n"), "a", "b").limit(4 * a_round).collect()
+        counted = pair_counts(tokens, "tokens").where("n >= 2")
+        if longest is not None:
+            wide = F.create_map(*(F.lit(x).cast("long") for kv in width.items() for x in kv)) if width else None
+            size_of = lambda c, wide=wide: F.lit(1) if wide is None else F.coalesce(F.element_at(wide, F.col(c)), F.lit(1))
+            counted = counted.where(size_of("a") + size_of("b") <= longest)
+        best = counted.orderBy(F.desc("n"), "a", "b").limit(4 * a_round).collect()
         chosen: dict[tuple[int, int], int] = {}
         lefts, rights = set(), set()
         for r in best:
             size = width.get(r.a, 1) + width.get(r.b, 1)
-            if r.n >= 2 and r.a not in rights and r.b not in lefts and len(chosen) < a_round and (longest is None or size <= longest):
+            if r.a not in rights and r.b not in lefts and len(chosen) < a_round:
                 chosen[r.a, r.b] = 0x110000 + len(rules)
                 width[0x110000 + len(rules)] = size
                 rules.append((r.a, r.b, 0x110000 + len(rules)))
@@ -140,8 +149,8 @@ def x5(spark, d):
 
 @query("x6_pair_at_a_time_roundtrip", "SELECT r_regionkey, r_name AS text FROM region")
 def x6(spark, d):
-    """Exact pair replacement: one rule, the most frequent pair, a round."""
-    tokens, rules, _ = byte_pairs(table(spark, d, "region"), "r_regionkey", "r_name", rounds=4, a_round=1)
+    """Exact pair replacement: one rule, the most frequent pair, a round, until no pair repeats."""
+    tokens, rules, _ = byte_pairs(table(spark, d, "region"), "r_regionkey", "r_name", rounds=None, a_round=1)
     grammar = spark.createDataFrame([(c, a, b) for a, b, c in rules], "id long, a long, b long")
     return expand(tokens, grammar, "r_regionkey")
 

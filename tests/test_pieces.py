@@ -78,3 +78,35 @@ def test_span_take_cuts_whole_rows_by_offset(spark):
     for i, r in got.items():
         assert r.start == sum(len((t or "").encode()) for t in texts[:i])
         assert r.value.encode() == payload[r.start : r.start + r.n_bytes] == (texts[i] or "").encode()
+
+
+def test_pairs_are_replaced_until_none_repeats(spark):
+    from collections import Counter
+
+    from strandbase.operators.dictionary import byte_pairs
+
+    texts = ["abab cab", "cababab", "xyz", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tokens, rules, _ = byte_pairs(df, "id", "text", rounds=None, a_round=1)
+    plain, made = [list(map(ord, t)) for t in texts], []
+    while True:
+        n = Counter(p for t in plain for p in zip(t, t[1:]))
+        pair = min((p for p in n if n[p] >= 2), key=lambda p: (-n[p], p), default=None)
+        if pair is None:
+            break
+        made.append((*pair, 0x110000 + len(made)))
+        for t in plain:
+            i = 0
+            while i < len(t) - 1:
+                if (t[i], t[i + 1]) == pair:
+                    t[i : i + 2] = [made[-1][2]]
+                i += 1
+    assert rules == made and {r.id: r.tokens for r in tokens.collect() if texts[r.id]} == {i: t for i, t in enumerate(plain) if t}
+
+
+def test_too_long_pairs_dont_end_the_training(spark):
+    from strandbase.operators.dictionary import byte_pairs
+
+    df = spark.createDataFrame([(i, "abcdefghijkl") for i in range(9)] + [(9, "xy"), (10, "xy")], "id long, text string")
+    _, rules, _ = byte_pairs(df, "id", "text", rounds=12, a_round=1, longest=2)
+    assert [(a, b) for a, b, _ in rules] == [(ord(a), ord(b)) for a, b in ("ab", "cd", "ef", "gh", "ij", "kl", "xy")]
