@@ -139,6 +139,42 @@ def d5(spark, d):
     return t.agg(F.min("t").alias("base"), F.max("t").alias("top"), F.bit_and("t").alias("all_bits"), F.bit_or("t").alias("any_bits"))
 
 
+def _hex(v: Column, width: int) -> Column:
+    return F.lower(F.lpad(F.hex(v), width, "0"))
+
+
+def _digits(c: Column, *cuts: tuple[int, int]) -> Column:
+    """The number that the hex digits at (place, length) make; at most 62 bits."""
+    return F.conv(F.concat(*(F.substring(c, a, n) for a, n in cuts)), 16, 10).cast("long")
+
+
+def _uuid_v1(t: Column, clock: Column, node: Column) -> Column:
+    """The text of a version-1 UUID from its 60-bit time, 14-bit clock sequence and 48-bit node."""
+    low, mid, high = t.bitwiseAND(0xFFFFFFFF), F.shiftright(t, 32).bitwiseAND(0xFFFF), F.shiftright(t, 48)
+    return F.concat_ws("-", _hex(low, 8), _hex(mid, 4), F.concat(F.lit("1"), _hex(high, 3)), _hex(clock + 0x8000, 4), _hex(node, 12))
+
+
+UUID_V1 = Detector(
+    "uuid v1",
+    r"^[0-9a-f]{8}-[0-9a-f]{4}-1[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z",
+    lambda c: {"time": _digits(c, (16, 3), (10, 4), (1, 8)), "clock": _digits(c, (20, 4)).bitwiseAND(0x3FFF), "node": _digits(c, (25, 12))},
+    lambda: _uuid_v1(F.col("time"), F.col("clock"), F.col("node")),
+)
+
+
+@query("d5b_uuid_v1_detector")
+def d5b(spark, d):
+    """Strings made of orders, parsed and given back: counts, base and step of the time, masks of what follows it."""
+    made = _uuid_v1(F.col("o_orderkey") * 40 + 131_000_000_000_001_000, F.col("o_custkey").cast("long").bitwiseAND(0x3FFF), F.col("o_orderkey") * 65_537 + 0x0242AC110002)
+    rows = _orders(spark, d, made)
+    parsed = UUID_V1.project(rows, "value").where("matched")
+    suffix = F.shiftleft("clock", 48).bitwiseOR(F.col("node"))
+    fields = parsed.agg(F.min("time").alias("base"), F.max("time").alias("top"), F.bit_and(suffix).alias("all_bits"), F.bit_or(suffix).alias("any_bits"))
+    base = parsed.agg(F.min("time").alias("base"))
+    step = gcd_of(parsed.crossJoin(F.broadcast(base)).select((F.col("time") - F.col("base")).alias("t")), "t").withColumnRenamed("gcd", "step")
+    return UUID_V1.report(rows, "value").crossJoin(fields).crossJoin(step)
+
+
 @query("d5g_gcd", "SELECT CAST(list_reduce(list(DISTINCT t), lambda a, b: gcd(a, b)) AS BIGINT) AS gcd FROM (SELECT o_orderkey * 40 AS t FROM orders)")
 def d5g(spark, d):
     return gcd_of(table(spark, d, "orders").select((F.col("o_orderkey") * 40).alias("t")), "t")

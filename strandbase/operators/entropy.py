@@ -129,6 +129,17 @@ def e4(spark, d):
     return fixed.groupBy("g").agg(F.sum(F.col("n") * F.col("len")).cast("long").alias("bits"))
 
 
+@query("e3b_huffman_codes")
+def e3b(spark, d):
+    """Canonical codes of the Huffman lengths of each group."""
+    return canonical_codes(code_lengths(_part_counts(spark, d))).select("g", "sym", "n", "len", "code")
+
+
+@query("e4b_huffman_bits")
+def e4b(spark, d):
+    return code_lengths(_part_counts(spark, d)).groupBy("g").agg(F.sum(F.col("n") * F.col("len")).cast("long").alias("bits"))
+
+
 def normalised(counts: DataFrame, bits: int = 12, group: str = "g") -> DataFrame:
     """(group, sym, n, freq): frequencies that sum to 2^bits, none zero; the largest remainders are rounded up."""
     w = Window.partitionBy(group)

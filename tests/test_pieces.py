@@ -80,6 +80,55 @@ def test_span_take_cuts_whole_rows_by_offset(spark):
         assert r.value.encode() == payload[r.start : r.start + r.n_bytes] == (texts[i] or "").encode()
 
 
+def test_codes_and_bits_are_of_a_huffman_coder(spark, sf_dir):
+    import heapq
+    from collections import Counter, defaultdict
+
+    from strandbase import registry
+
+    registry.load()
+    counts = defaultdict(Counter)
+    for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_name").collect():
+        counts[r.p_brand].update(r.p_name.encode())
+    bits = {}
+    for g, c in counts.items():
+        heap, bits[g] = sorted(c.values()), 0
+        while len(heap) > 1:
+            heapq.heappush(heap, both := heapq.heappop(heap) + heapq.heappop(heap))
+            bits[g] += both
+    assert {r.g: r.bits for r in registry.QUERIES["e4b_huffman_bits"](spark, sf_dir).collect()} == bits
+    assert any(bits[g] < sum(c.values()) * (len(c) - 1).bit_length() for g, c in counts.items())
+    codes = defaultdict(dict)
+    for r in registry.QUERIES["e3b_huffman_codes"](spark, sf_dir).collect():
+        assert 0 <= r.code < 1 << r.len
+        codes[r.g][r.sym] = (r.len, r.code, r.n)
+    for g, c in counts.items():
+        assert {s: n for s, (_, _, n) in codes[g].items()} == c and sum(n * k for k, _, n in codes[g].values()) == bits[g]
+        texts = sorted(f"{code:0{k}b}" for k, code, _ in codes[g].values())
+        assert not any(b.startswith(a) for a, b in zip(texts, texts[1:]))
+        assert [s for _, s in sorted((f"{codes[g][s][1]:0{codes[g][s][0]}b}", s) for s in c)] == sorted(c, key=lambda s: (codes[g][s][0], s))
+
+
+def test_uuid_v1_fields(spark, sf_dir):
+    import math
+    import uuid
+
+    from strandbase import registry
+    from strandbase.operators.detect import UUID_V1
+
+    registry.load()
+    good = [str(uuid.UUID(fields=(i * 99_991 % 2**32, i * 7 % 2**16, 0x1000 + i % 4096, 0x80 + i % 64, i % 256, i * 123_456_789 % 2**48))) for i in range(200)] + ["ffffffff-ffff-1fff-bfff-ffffffffffff", "00000000-0000-1000-8000-000000000000"]
+    bad = [str(uuid.UUID(int=5, version=4)), good[5].upper().replace("0", "A"), good[3] + "\n", "", None, good[1][:-1]]
+    df = spark.createDataFrame([(v,) for v in good + bad], "value string")
+    seen = {r.value: (r.time, r.clock, r.node) for r in UUID_V1.project(df, "value").where("matched").collect()}
+    assert seen == {v: (u.time, u.clock_seq, u.node) for v in good for u in [uuid.UUID(v)]}
+    assert tuple(UUID_V1.report(df, "value").first()) == (len(good + bad), len(good), len(good))
+    r = registry.QUERIES["d5b_uuid_v1_detector"](spark, sf_dir).first()
+    keys = [k.o_orderkey for k in spark.read.parquet(f"{sf_dir}/orders.parquet").collect()]
+    assert r.n_rows == r.n_match == r.n_roundtrip == len(keys) and r.base == min(keys) * 40 + 131_000_000_000_001_000
+    assert r.step == math.gcd(*(40 * (k - min(keys)) for k in keys)) and r.any_bits & r.all_bits == r.all_bits > 0
+
+
 def test_pairs_are_replaced_until_none_repeats(spark):
     from collections import Counter
 
