@@ -11,15 +11,17 @@ Lines without words are never removed.
    shared token are done.  Lines with equal token sets are one from here on.
 3. Join on prefix tokens; of the candidates the length and positional bounds leave,
    verify Jaccard exactly, and keep for each line only the earliest match, so that a
-   family of near copies gives few rows.  A token of very many lines is split over a
-   grid of salts.
+   family of near copies gives few rows.  A token of very many or very long lines is
+   split over a grid of salts whose cells have a bounded size, and cells are compared
+   in blocks that are bounded in lines and in tokens.
 4. Mark every line whose earliest match is earlier, and cut the marked lines out of
    the texts, looking them up in sorted arrays; texts are never shuffled.
 
 Line numbers count from 0; lines are separated by a line feed.  Null texts stay
 null and have no lines.  Rows with equal id and text are treated alike.  Null ids
-come first in the order.  Extra columns are carried along.  An empty table gives
-an empty result.
+come first in the order.  Extra columns are carried along; a column of the report
+whose name the input has gets underscores before its name until it is free
+(``report_names``).  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,13 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hasharrays import Shards, bits_for, cuts, reduce_shards, write_shard
-from .shared import fresh_path, make_folder, materialise
+from .hasharrays import Shards, bits_for, blank_shards, cuts, reduce_shards
+from .shared import drop, fresh_path, make_folder, materialise
 from .vectext import BYTE_VALUE_LOWER, IS_SPACE, combine, mix, ranges, shingle_hashes, slices, span_hashes, string_parts
 
 U64 = np.uint64
-HOT = 2048
+#: Lines, and bytes of their tokens, on each side of a cell.
+CELL = 8192
+CELL_BYTES = 32 << 20
+#: Lines in a block of comparisons, and numbers in its table.
 BLOCK = 512
+TABLE = 1 << 23
+FLUSH = 1 << 20
 
 
 def least_prefix(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -89,31 +96,39 @@ def _quantised(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def shared_tokens(docs: DataFrame, path: str, bits: int, shingle: int) -> Shards:
     """In how many lines each token occurs, for those of two or more."""
+    arrays = Shards(path, "tokens", bits, [np.uint32])
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = np.sort(np.concatenate(held))
+        rows = [(s, (tokens[a:b] >> U64(32 - bits)).astype(np.uint32).tobytes()) for s, a, b in cuts(tokens, bits)]
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.binary())], ["shard", "keys"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens, _, _ = line_tokens(*string_parts(part.column("text")), shingle)
-                tokens = np.sort(tokens)
-                rows = [(s, tokens[a:b]) for s, a, b in cuts(tokens, bits)]
-                packed = [(t >> U64(32 - bits)).astype(np.uint32).tobytes() for _, t in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array(packed, pa.binary())], ["shard", "keys"])
+                held.append(line_tokens(*string_parts(part.column("text")), shingle)[0])
+                if sum(map(len, held)) >= FLUSH:
+                    yield flush(held)
+                    held = []
+        if held:
+            yield flush(held)
 
     def merge(key: tuple, rows: list[dict]) -> Iterator[dict]:
-        keys = np.sort(np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in rows]))
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys = np.sort(np.concatenate([np.frombuffer(r["keys"] or b"", np.uint32) for r in rows]))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         number = np.diff(np.append(first, len(keys)))
         many = number > 1
         whole = (keys[first[many]].astype(U64) << U64(32 - bits)) | (U64(key[0]) << U64(64 - bits) if bits else U64(0))
-        write_shard(path, "tokens", key[0], whole, number[many].astype(np.uint32))
-        yield {"shard": key[0], "n": int(many.sum())}
+        arrays.write(key[0], whole, np.minimum(number[many], (1 << 32) - 1))
+        yield {"n": int(many.sum())}
 
     blocks = docs.select("text").mapInArrow(count, "shard int, keys binary")
-    sizes = {r.shard: r.n for r in reduce_shards(blocks, 1 << bits, merge, ["shard"], "shard int, n long").collect()}
-    return Shards(path, "tokens", bits, [np.uint32], sizes)
+    reduce_shards(blocks.unionByName(blank_shards(blocks, bits)), 1 << bits, merge, ["shard"], "n long").agg(F.sum("n")).first()
+    return arrays
 
 
-def candidates(docs: DataFrame, tokens: Shards, shingle: int, threshold: float) -> DataFrame:
+def candidates(docs: DataFrame, path: str, tokens: Shards, shingle: int, threshold: float) -> DataFrame:
     """A row for each line whose prefix holds a shared token: (id, tie, line, sig, n, skipped, shared).
 
     ``shared`` has the line's shared tokens, rarest first, in the batch's first row of a token set; ``skipped``
@@ -157,38 +172,54 @@ def candidates(docs: DataFrame, tokens: Shards, shingle: int, threshold: float)
                     ["id", "tie", "line", "sig", "n", "skipped", "shared"],
                 )
 
-    return materialise(docs.mapInArrow(find, f"id {kind}, tie long, line int, sig long, n int, skipped int, shared binary"), "line-candidates")
-
-
-def earliest_similar(sets: list[np.ndarray], sizes: np.ndarray, threshold: float, queries: np.ndarray, against: np.ndarray) -> np.ndarray:
-    """For each query the first of ``against`` (ascending positions) before it with Jaccard >= threshold, else -1; in bounded blocks."""
-    found = np.full(len(queries), -1, np.int64)
-    open_ = np.arange(len(queries))
-    for lo in range(0, len(against), BLOCK):
-        block = against[lo : lo + BLOCK]
-        open_ = open_[(found[open_] < 0) & (queries[open_] > block[0])]
-        for at in range(0, len(open_), BLOCK):
-            q = open_[at : at + BLOCK]
-            mine = queries[q]
-            rows = [*mine.tolist(), *block.tolist()]
-            flat = np.concatenate([sets[r] for r in rows])
-            distinct, place = np.unique(flat, return_inverse=True)
+    return materialise(docs.mapInArrow(find, f"id {kind}, tie long, line int, sig long, n int, skipped int, shared binary"), "candidates", under=path)
+
+
+def bounded(rows: np.ndarray, have: np.ndarray) -> Iterator[np.ndarray]:
+    """``rows`` in blocks: at most BLOCK of them, and fewer where their tokens are many."""
+    at = 0
+    while at < len(rows):
+        part = rows[at : at + BLOCK]
+        cost = np.cumsum(have[part]) * 4 * np.arange(1, len(part) + 1)
+        end = at + max(1, int(np.searchsorted(cost, TABLE, "right")))
+        yield rows[at:end]
+        at = end
+
+
+def earliest_similar(sets: list[np.ndarray], sizes: np.ndarray, rest: np.ndarray, threshold: float, queries: np.ndarray, against: np.ndarray) -> np.ndarray:
+    """For each query the first of ``against`` (ascending positions) before it with Jaccard >= threshold, else -1.
+
+    ``rest`` is how many tokens of a line, in the common order, stand at the joined token or
+    after it: pairs that share too few even if all of these are equal are passed over.
+    """
+    have = np.fromiter(map(len, sets), np.int64, len(sets))
+    best = np.full(len(sets), -1, np.int64)
+    for block in bounded(against, have):
+        open_ = queries[(best[queries] < 0) & (queries > block[0])]
+        for mine in bounded(open_, have):
+            least = np.ceil(threshold / (1 + threshold) * (sizes[mine][:, None] + sizes[block]) - 1e-9)
+            may = (np.minimum(rest[mine][:, None], rest[block]) >= least) & (block < mine[:, None])
+            q, o = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+            if not len(q):
+                continue
+            rows = [*mine[q].tolist(), *block[o].tolist()]
+            distinct, place = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True)
             grid = np.zeros((len(rows), len(distinct)), np.float32)
-            grid[np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows]), place] = 1
+            grid[np.repeat(np.arange(len(rows)), have[rows]), place] = 1
             both = np.rint(grid[: len(q)] @ grid[len(q) :].T).astype(np.int64)
-            need = threshold * (sizes[mine][:, None] + sizes[block][None, :] - both) - 1e-9
-            ok = (both >= need) & (block[None, :] < mine[:, None])
+            need = threshold * (sizes[mine[q]][:, None] + sizes[block[o]] - both) - 1e-9
+            ok = (both >= need) & may[np.ix_(q, o)]
             hit = ok.any(1)
-            found[q[hit]] = block[ok[hit].argmax(1)]
-    return found
+            best[mine[q][hit]] = block[o][ok[hit].argmax(1)]
+    return best[queries]
 
 
-def earliest_matches(lines: DataFrame, threshold: float) -> DataFrame:
+def earliest_matches(lines: DataFrame, path: str, threshold: float) -> DataFrame:
     """(sig, best): the place of the earliest line similar to each token set, its own first place included."""
     spark = lines.sparkSession
     place = F.struct("id", "tie", "line")
     firsts = lines.groupBy("sig").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("skipped").alias("skipped"), F.max("shared").alias("shared"))
-    firsts = materialise(firsts, "line-sets")
+    firsts = materialise(firsts, "sets", under=path)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,17 +232,19 @@ def earliest_matches(lines: DataFrame, threshold: float) -> DataFrame:
             row = np.repeat(np.arange(len(n)), number)
             at = ranges(offsets[:-1] // 8, number)
             position = at - offsets[:-1][row] // 8 + skipped[row]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), batch.column("sig").take(pa.array(row)), pa.array(position.astype(np.int32))], ["token", "sig", "position"])
+            columns = [pa.array(keys[at]), batch.column("sig").take(pa.array(row)), pa.array(position.astype(np.int32)), pa.array(have[row].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "sig", "position", "have"])
 
-    slim = firsts.select("sig", "n", "skipped", "shared").mapInArrow(prefix, "token long, sig long, position int")
-    slim = materialise(slim, "line-prefixes")
+    slim = firsts.select("sig", "n", "skipped", "shared").mapInArrow(prefix, "token long, sig long, position int, have int")
+    slim = materialise(slim, "prefixes", under=path)
     # Tokens of one token set only are of no use, however often that line is repeated.  Tokens that the same
     # sets share lead to the same comparisons: of these the first in the common order stands for all (it is
     # the first that any two of the sets share, which the positional bound needs).
     digest = [F.sum(F.xxhash64("sig", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
-    alike = slim.groupBy("token").agg(F.count("*").alias("k"), F.min("position").alias("position"), *digest).where("k > 1")
-    many = alike.groupBy("k", "h1", "h2").agg(F.min(F.struct("position", "token"))["token"].alias("token")).withColumn("grid", F.ceil(F.sqrt(F.col("k") / HOT)).cast("int"))
-    dealt = slim.join(many.select("token", "grid"), "token").join(firsts, "sig")
+    alike = slim.groupBy("token").agg(F.count("*").alias("k"), F.min("position").alias("position"), F.sum("have").alias("have"), *digest).where("k > 1")
+    grid = F.greatest(F.ceil(F.col("k") / CELL), F.ceil(F.col("have") * 8 / CELL_BYTES)).cast("int")
+    many = alike.groupBy("k", "have", "h1", "h2").agg(F.min(F.struct("position", "token"))["token"].alias("token")).withColumn("grid", grid)
+    dealt = slim.drop("have").join(many.select("token", "grid"), "token").join(firsts, "sig")
     mine = F.pmod(F.xxhash64("sig"), F.col("grid")).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.col("grid") - 1))
     as_query = dealt.withColumn("other", each).withColumn("salt", mine * F.col("grid") + F.col("other")).withColumn("query", F.lit(True))
@@ -224,19 +257,10 @@ def earliest_matches(lines: DataFrame, threshold: float) -> DataFrame:
         rows.sort(key=lambda r: (r["id"] is not None, r["id"] if r["id"] is not None else 0, r["tie"], r["line"]))
         sets = [np.frombuffer(r["shared"], U64) for r in rows]
         sizes = np.array([r["n"] for r in rows], np.int64)
+        position = np.array([r["position"] for r in rows], np.int64)
         queries = np.flatnonzero([r["query"] for r in rows])
         against = np.flatnonzero([r["against"] for r in rows])
-        # Length and positional bounds leave a query only where some line passes both.
-        position = np.array([r["position"] for r in rows], np.int64)
-        rest = sizes - position
-        keep = []
-        for q in queries.tolist():
-            other = against[against < q]
-            need = np.ceil(threshold / (1 + threshold) * (sizes[q] + sizes[other]) - 1e-9)
-            if (np.minimum(rest[q], rest[other]) >= need).any():
-                keep.append(q)
-        queries = np.array(keep, np.int64)
-        for q, f in zip(queries.tolist(), earliest_similar(sets, sizes, threshold, queries, against).tolist(), strict=True):
+        for q, f in zip(queries.tolist(), earliest_similar(sets, sizes, sizes - position, threshold, queries, against).tolist(), strict=True):
             if f >= 0:
                 yield {"sig": rows[q]["sig"], "id": rows[f]["id"], "tie": rows[f]["tie"], "line": rows[f]["line"]}
 
@@ -244,44 +268,60 @@ def earliest_matches(lines: DataFrame, threshold: float) -> DataFrame:
     better = reduce_shards(grid, parts, merge, ["token", "salt"], f"sig long, id {kind}, tie long, line int")
     both = better.select("sig", place.alias("best")).unionByName(firsts.select("sig", F.col("first").alias("best")))
     # Written out: Spark can then split a line that is repeated very often in the join that follows.
-    return materialise(both.groupBy("sig").agg(F.min("best").alias("best")), "line-best")
+    return materialise(both.groupBy("sig").agg(F.min("best").alias("best")), "best", under=path)
 
 
 def removed_lines(docs: DataFrame, path: str, shingle: int, threshold: float) -> Shards:
     """A set of keys, one for each removed line: see ``line_keys``.  docs: (id, tie, text)."""
+    spark = docs.sparkSession
+    work = make_folder(spark, f"{path}/work")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tokens = shared_tokens(docs, path, bits_for(int(size) // 6), shingle)
-    lines = candidates(docs, tokens, shingle, threshold)
-    best = earliest_matches(lines, threshold)
+    tokens = shared_tokens(docs, work, bits_for(int(size) // 6), shingle)
+    lines = candidates(docs, work, tokens, shingle, threshold)
+    best = earliest_matches(lines, work, threshold)
     gone = lines.select("sig", "id", "tie", "line").join(best, "sig").where(F.struct("id", "tie", "line") > F.col("best")).select("tie", "line")
-    bits = bits_for(int(size) // 64)
+    arrays = Shards(path, "removed", bits_for(int(size) // 64), [])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tie, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tie", "line"))
             keys = np.unique(line_keys(tie, line))
-            rows = list(cuts(keys, bits))
+            rows = list(cuts(keys, arrays.bits))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in rows], pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in rows], pa.binary())], ["shard", "keys"])
 
     def merge(key: tuple, rows: list[dict]) -> Iterator[dict]:
-        keys = np.unique(np.concatenate([np.frombuffer(r["keys"], U64) for r in rows]))
-        write_shard(path, "removed", key[0], keys)
-        yield {"shard": key[0], "n": len(keys)}
+        keys = np.unique(np.concatenate([np.frombuffer(r["keys"] or b"", U64) for r in rows]))
+        arrays.write(key[0], keys)
+        yield {"n": len(keys)}
 
     blocks = gone.mapInArrow(keyed, "shard int, keys binary")
-    sizes = {r.shard: r.n for r in reduce_shards(blocks, 1 << bits, merge, ["shard"], "shard int, n long").collect()}
-    return Shards(path, "removed", bits, [], sizes)
+    reduce_shards(blocks.unionByName(blank_shards(blocks, arrays.bits)), 1 << arrays.bits, merge, ["shard"], "n long").agg(F.sum("n")).first()
+    drop(spark, work)
+    return arrays
 
 
 def line_keys(tie: np.ndarray, line: np.ndarray) -> np.ndarray:
     return combine(mix(tie.astype(np.int64).view(U64)), line.astype(np.int64).view(U64))
 
 
-def dedup_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text", prefix: str = "") -> DataFrame:
-    """The input's columns with the text less its removed lines, then n_lines, n_removed and removed (line numbers).
+REPORT = ("n_lines", "n_removed", "removed")
 
-    ``prefix`` stands before these three names; of the input's columns so named the input's stay.
-    """
+
+def report_names(columns: list[str], prefix: str = "") -> dict[str, str]:
+    """What the columns of the report are called beside the given ones: underscores make a taken name free."""
+    taken = {c.lower() for c in columns}
+    out = {}
+    for c in REPORT:
+        name = prefix + c
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out[c] = name
+    return out
+
+
+def dedup_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text", prefix: str = "") -> DataFrame:
+    """The input's columns with the text less its removed lines, then n_lines, n_removed and removed (line numbers), named by ``report_names``."""
     if not 0.5 <= threshold <= 1 or math.isnan(threshold):
         raise ValueError("the threshold is between 0.5 and 1")
     spark = docs.sparkSession
@@ -321,5 +361,5 @@ def dedup_lines(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
     rest_type = wide.schema["__rest"].dataType.simpleString()
     out = wide.mapInArrow(cut, f"__text string, __rest {rest_type}, n_lines int, n_removed int, removed array<int>")
     columns = [F.col("__text").alias(c) if c == text_column else F.col("__rest")[c].alias(c) for c in docs.columns]
-    report = ("n_lines", "n_removed", "removed")
-    return out.select(*columns, *(F.col(c).alias(prefix + c) for c in report if prefix + c not in docs.columns))
+    names = report_names(docs.columns, prefix)
+    return out.select(*columns, *(F.col(c).alias(names[c]) for c in REPORT))

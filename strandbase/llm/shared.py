@@ -36,16 +36,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, codec: str = "zstd", under: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder (in its subfolder ``under``) and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = f"{under}/{name}-{uuid.uuid4().hex}" if under else fresh_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
-    """Delete a shared path once no later job reads it."""
+    """Delete a shared path that no later job reads, so that what an operator leaves is what its result reads."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -82,22 +82,19 @@ def put_file(uri: str, chunks: list) -> None:
     os.replace(part, path)
 
 
-def local_file(uri: str) -> str:
-    """A path of ``uri`` that can be memory-mapped: itself on a mounted store, else a copy in the task's own folder."""
+def local_file(uri: str) -> tuple[str, bool]:
+    """(a path of ``uri`` that can be memory-mapped, whether it is a copy): itself on a mounted store, else a copy in the process's own folder."""
     path = _posix(uri)
     if path is not None:
-        return path
+        return path, False
     from pyarrow import fs
 
-    copy = os.path.join(tempfile.gettempdir(), "mapped-" + uuid.uuid5(uuid.NAMESPACE_URL, uri).hex)
-    if not os.path.exists(copy):
-        store, inner = fs.FileSystem.from_uri(uri)
-        part = f"{copy}.{uuid.uuid4().hex}"
-        with store.open_input_stream(inner) as src, open(part, "wb") as out:
-            while block := src.read(1 << 22):
-                out.write(block)
-        os.replace(part, copy)
-    return copy
+    copy = os.path.join(tempfile.gettempdir(), f"mapped-{os.getpid()}-{uuid.uuid5(uuid.NAMESPACE_URL, uri).hex}")
+    store, inner = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(inner) as src, open(copy, "wb") as out:
+        while block := src.read(1 << 22):
+            out.write(block)
+    return copy, True
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

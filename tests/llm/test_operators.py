@@ -86,14 +86,42 @@ def test_op1_query_has_two_words_of_context(spark, sf_dir):
     assert len(got) == len(rows) and all(math.isclose(got[r.doc_id], full, rel_tol=1e-6) for r, (_, full, *_) in zip(rows, expected, strict=True))
 
 
-def test_op1_blocks_with_more_words_than_a_number_holds():
-    from strandbase.llm.lmscore import pack_blocks, unpack_blocks
+@pytest.mark.parametrize("bits", [12, 21, 22, 40])
+def test_op1_blocks_of_any_width(bits):
+    from strandbase.llm.lmscore import pack_block, unpack_blocks
 
-    columns = list(np.random.default_rng(1).permutation(2_100_000).astype(np.uint64).reshape(3, -1))
-    counts = np.arange(len(columns[0])) % 300 + 1
-    blocks = list(pack_blocks(columns, counts))
-    back, n = unpack_blocks(blocks, 3)
-    assert len(blocks) == 2 and sorted(zip(*back, n, strict=True)) == sorted(zip(*columns, counts, strict=True))
+    rng = np.random.default_rng(bits)
+    columns = [rng.integers(0, 1 << bits, 5000).astype(np.uint64) for _ in range(4)]
+    counts = [rng.integers(1, 1 << 40, 5000) for _ in range(2)]
+    back, n = unpack_blocks([pack_block(columns, counts, bits)] * 2, 4, 2, bits)
+    assert sorted(zip(*back, *n.T, strict=True)) == sorted([*zip(*columns, *counts, strict=True)] * 2)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_op1_split_pivots_and_many_shards(spark, docs, rows, order, monkeypatch):
+    from strandbase.llm import lmscore
+
+    monkeypatch.setattr(lmscore, "SHARD_KEYS", 200)
+    monkeypatch.setattr(lmscore, "PIVOT_KEYS", 7)
+    expected = brute.kneser_ney([r.text for r in rows], range(len(rows)), order, lmscore.discounts_from)
+    model = lmscore.train(docs, order)
+    assert model.layout.bits > 3
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score, 5)) for r in lmscore.score(docs, model).collect())
+    assert got == sorted((r.doc_id is None, r.doc_id or 0, n, round(full, 5)) for r, (_, full, _, n, _) in zip(rows, expected, strict=True))
+
+
+def test_op1_counts_beyond_32_bits(tmp_path):
+    from strandbase.llm.hasharrays import CountArrays
+
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**63, 5000, dtype=np.uint64))
+    rows = np.ones((5000, 4), np.int64)
+    rows[7] = (1 << 40, 3, 1 << 33, 5)
+    rows[100:800, 1] = np.arange(700)
+    for bits in (0, 1):
+        arrays = CountArrays(str(tmp_path), f"x{bits}", bits, 4)
+        arrays.write(0, keys, rows)
+        there, found = arrays.of(np.append(keys[::-1], np.uint64(12345)))
+        assert there[:-1].all() and not there[-1] and (found[:-1] == rows[::-1]).all()
 
 
 def test_op2(spark, docs, rows, empty):
@@ -294,24 +322,24 @@ def test_op7_links_are_complete(spark):
         assert sorted(map(sorted, together.values())) == sorted(map(sorted, expected.values()))
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_op8(spark, docs, rows, empty, hot):
+@pytest.mark.parametrize("cell", [8192, 2])
+def test_op8(spark, docs, rows, empty, cell):
     from strandbase.llm import linededup
 
     keyed = docs.withColumn("k", F.xxhash64("doc_id", "text")).collect()
     want = brute.removed_lines([((r.doc_id, r.k) if r.doc_id is not None else (None, r.k), r.text) for r in keyed])
     by_key = {(k[0], t): v for (k, t), v in zip([((r.doc_id, r.k), r.text) for r in keyed], [want.get((r.doc_id, r.k), []) for r in keyed], strict=True)}
-    old, linededup.HOT = linededup.HOT, hot
+    old, linededup.CELL = linededup.CELL, cell
     try:
         out = linededup.dedup_lines(docs.withColumn("original", F.col("text")))
         got = out.collect()
     finally:
-        linededup.HOT = old
+        linededup.CELL = old
     assert len(got) == len(rows) and out.columns[: len(docs.columns)] == docs.columns
     assert {r.n_removed for r in got} == {"x", None}  # the input's column of that name stays
     for r in got:
         gone = by_key[r.doc_id, r.original]
-        assert r.removed == gone
+        assert r.removed == gone and r._n_removed == len(gone)
         if r.original is None:
             assert r.text is None and r.n_lines == 0
         else:
@@ -336,6 +364,21 @@ def test_op8_near_lines(spark):
     assert {r.doc_id: r.removed for r in dedup_lines(df).collect()} == {k[0]: v for k, v in want.items()}
 
 
+@pytest.mark.parametrize("table", [1 << 23, 5000])
+def test_op8_blocks(table, monkeypatch):
+    from strandbase.llm import linededup
+
+    monkeypatch.setattr(linededup, "TABLE", table)
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(60, rng.integers(1, 50), replace=False)).astype(np.uint64) for _ in range(300)]
+    sizes = np.array(list(map(len, sets)))
+    queries, against = np.arange(1, 300, 2), np.arange(0, 300, 3)
+    got = linededup.earliest_similar(sets, sizes, sizes, 0.6, queries, against)
+    similar = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.6
+    assert got.tolist() == [next((a for a in against.tolist() if a < q and similar(q, a)), -1) for q in queries.tolist()]
+    assert all(len(b) * 4 * sum(len(sets[r]) for r in b) <= table or len(b) == 1 for b in linededup.bounded(against, sizes))
+
+
 def test_op9(spark, docs, rows, empty, library):
     from strandbase.llm.tokencount import count_tokens
 
