@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandbase.llm.decontaminate import clean_documents
-from strandbase.llm.linededup import dedup_lines
+from strandbase.llm.linededup import dedup_lines, report_names
 from strandbase.llm.packing import pack
 from strandbase.llm.quality import keep_good
 from strandbase.llm.shared import materialise, read_table
@@ -25,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; a document all of whose text is such lines goes."""
-    cut = dedup_lines(docs, prefix="__line_").where((F.col("__line_n_removed") == 0) | (F.trim("text") != "") | F.col("text").isNull())
-    changed = F.when(F.col("__line_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    removed = F.col(report_names(docs.columns, "__line_")["n_removed"])
+    cut = dedup_lines(docs, prefix="__line_").where((removed == 0) | (F.trim("text") != "") | F.col("text").isNull())
+    changed = F.when(removed > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select(*(changed.alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
