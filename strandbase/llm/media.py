@@ -26,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,7 @@ def from_wave(media: bytes) -> tuple[int, memoryview]:
     return rate, memoryview(media)[_WAVE.size : _WAVE.size + size]
 
 
+@lru_cache(maxsize=8)
 def polyphase_filters(up: int, down: int, taps: int) -> np.ndarray:
     """(up, 2 taps) filters: row p gives outputs of phase p from 2 * taps neighbouring inputs."""
     cut = min(1.0, up / down)
@@ -75,7 +77,7 @@ def polyphase_filters(up: int, down: int, taps: int) -> np.ndarray:
     return (rows / rows.sum(1, keepdims=True)).astype(np.float32)
 
 
-def resample(samples: np.ndarray, up: int, down: int, taps: int) -> np.ndarray:
+def resample(samples: np.ndarray, up: int, down: int, taps: int, run: int = 1 << 16) -> np.ndarray:
     """Samples at up/down times the rate; output k is at input time k * down / up, the edges are padded with zeros."""
     filters = polyphase_filters(up, down, taps)
     n = -(-len(samples) * up // down)
@@ -85,10 +87,13 @@ def resample(samples: np.ndarray, up: int, down: int, taps: int) -> np.ndarray:
     for phase in range(up):  # outputs k = phase, phase + up, ... advance by whole samples
         place = phase * down
         count = len(range(phase, n, up))
-        out[phase::up] = windows[place // up :: down][:count] @ filters[place % up]
+        mine, theirs = out[phase::up], windows[place // up :: down]
+        for lo in range(0, count, run):
+            mine[lo : lo + run] = theirs[lo : min(count, lo + run)] @ filters[place % up]
     return out
 
 
+@lru_cache(maxsize=8)
 def mel_filters(rate: float, frame: int, mels: int) -> np.ndarray:
     """(frame // 2 + 1, mels) triangles of equal width on the mel scale."""
     mel = lambda f: 2595.0 * np.log10(1.0 + f / 700.0)
@@ -129,13 +134,13 @@ def segments(energy: np.ndarray, upper: float, lower: float) -> list[tuple[int,
     return out
 
 
-def features(samples: memoryview, rate: int, s: AudioSettings) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(patches: n x patch x mels, time span of each in ms, segments)."""
+def features(samples: memoryview, rate: int, s: AudioSettings) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """(patches: n x patch x mels, time span of each in ms, segments, mean log-mel of the frames: what fills the last patch doesn't count)."""
     signal = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128.0) / 128.0
     new_rate = rate * s.up / s.down
     mel, energy = log_mel(resample(signal, s.up, s.down, s.taps), new_rate, s)
     mean = float(energy.mean())
-    found = segments(energy, s.upper * mean, s.lower * mean)
+    found = segments(energy, s.upper * mean, s.lower * mean) if mean > 0 else []
     number = -(-len(mel) // s.patch)
     patches = np.zeros((number * s.patch, s.mels), np.float32)
     patches[: len(mel)] = mel
@@ -143,7 +148,7 @@ def features(samples: memoryview, rate: int, s: AudioSettings) -> tuple[np.ndarr
     first = np.arange(number) * s.patch
     last = np.minimum(first + s.patch, len(mel))
     spans = np.stack((first * ms, last * ms), 1)
-    return patches.reshape(number, s.patch, s.mels), spans, found
+    return patches.reshape(number, s.patch, s.mels), spans, found, mel.mean(0, dtype=np.float64)
 
 
 def tensor_stream(patches: np.ndarray, spans: np.ndarray) -> bytes:
@@ -187,10 +192,9 @@ def audio_features(media: DataFrame, settings: AudioSettings = AudioSettings(),
                 rows = []
                 for media in part.column("media").to_pylist():
                     rate, samples = from_wave(media)
-                    patches, spans, found = features(samples, rate, settings)
+                    patches, spans, found, level = features(samples, rate, settings)
                     ms = 1000.0 * settings.hop * settings.down / (rate * settings.up)
-                    level = np.round(patches.reshape(-1, settings.mels).mean(0, dtype=np.float64), 3)
-                    text = ",".join(f"{x:.3f}" for x in level.tolist()) + f";{len(patches)};{len(found)}"
+                    text = ",".join(f"{x:.3f}" for x in np.round(level, 3).tolist()) + f";{len(patches)};{len(found)}"
                     rows.append(
                         {
                             "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
