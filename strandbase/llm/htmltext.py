@@ -4,9 +4,11 @@ A page is read as a sequence of words and tags.  A word scores the log-odds that
 block is main text, which is positive in text and negative in what surrounds it; a
 tag scores negative, the more the rarer it is inside main text.  Both weights come
 from labelled pages: a logistic model of a block's context (its enclosing elements,
-the words of their class and id, the share of words in links, its length) and counts of
-tags.  One linear scan finds the contiguous region of largest score, and its
-positive blocks are the text.
+the words and word parts of their class and id, the share of words in links and the
+length, by the nearest sectioning element, whether the page has an article elsewhere)
+and counts of tags.  One linear scan finds the contiguous region of largest score;
+elements inside it that are learned to surround text are left out.  Parsing takes a
+bounded number of steps a tag, however deep elements are nested.
 
 The labelled pages (``labelled_pages``) are written by rules: kinds of layout, each
 with the names that such elements carry, so that the labels are known exactly.
@@ -58,6 +60,9 @@ _BREAKS_OUT = (_BLOCK - {"title"}) | frozenset("b big code em embed i img listin
 #: Elements of svg that hold HTML.
 _HOLDS_HTML = frozenset(("foreignobject", "desc", "title"))
 _CLOSES_P = _BLOCK - {"br", "button", "label", "body", "html", "head"}
+_SECTIONS = frozenset("article main nav aside header footer form section dialog".split())
+#: Characters of a class or id that are looked at; real ones are far shorter.
+MOST_NAMES = 4096
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
@@ -68,14 +73,19 @@ class Block:
     words: int
     linked: int
     context: frozenset  # features of the enclosing elements
+    section: str  # the nearest sectioning element
     tags: list  # tags between the block before and this one
-    number: int = -1  # of the labelled element it stands in, for training
 
 
 def _features(tag: str, attrs: str) -> frozenset:
-    names = [w for m in _NAMES.finditer(attrs) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", next(g for g in m.groups() if g is not None)).lower()) if w]
-    found = {f"<{tag}>", *(f".{w}" for w in names)}
-    found |= {f".{stem}" for w in names for stem in _STEMS if stem in w}
+    """An element's name, and the words and word parts of its class, id and role."""
+    found = {f"<{tag}>"}
+    for m in _NAMES.finditer(attrs):
+        names = next(g for g in m.groups() if g is not None)[:MOST_NAMES]
+        for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()):
+            if w:
+                found.add(f".{w}")
+                found |= {f"~{w[k : k + 4]}" for k in range(len(w) - 3)}
     if _HIDDEN.search(attrs):
         found.add(".hidden")
     return frozenset(found)
@@ -120,32 +130,76 @@ def _tokens(page: str) -> Iterator[re.Match]:
                 break
 
 
+class Elements:
+    """The open elements.  Every tag costs a bounded number of steps, but for what it closes."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, frozenset]] = []
+        self.places: dict[str, list[int]] = {}  # by tag, from the outermost
+        self.blocks: list[int] = []  # places of block-level elements
+        self.sections: list[tuple[int, str]] = [(-1, "none")]
+        self.features: Counter = Counter()
+        self.known: frozenset | None = frozenset()
+
+    def push(self, tag: str, features: frozenset) -> None:
+        if tag in _SECTIONS:
+            features = features | {f"{self.sections[-1][1]}>{tag}"}
+            self.sections.append((len(self.stack), tag))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, features))
+        self.features.update(features)
+        self.known = None
+
+    def cut(self, size: int) -> None:
+        """Close all elements but the outermost ``size``."""
+        while len(self.stack) > size:
+            tag, features = self.stack.pop()
+            self.places[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+            if self.sections[-1][0] == len(self.stack):
+                self.sections.pop()
+            for f in features:
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+            self.known = None
+
+    def last(self, tags) -> int:
+        """The place of the innermost of these elements, else -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def before(self, tag: str) -> None:
+        """Close what a start tag of this name closes by itself."""
+        if tag in _CLOSES_P and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            self.cut(self.blocks[-1])
+        if tag in _SAME:
+            same = self.last(_SAME[tag])
+            if same > self.last(_BARRIER[tag]):
+                self.cut(same)
+
+    def context(self) -> frozenset:
+        if self.known is None:
+            self.known = frozenset(self.features)
+        return self.known
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, with what encloses them."""
-    stack: list[tuple[str, frozenset]] = []
+    elements = Elements()
     out: list[Block] = []
     text: list[str] = []
     tags: list[str] = []
     linked = 0
-    formulas = 0  # math elements that are open
-
-    def context() -> frozenset:
-        found: set = set()
-        above = None
-        for tag, features in stack:
-            found |= features
-            if tag in _BLOCK and tag not in ("html", "body", "div", "p"):
-                if above:
-                    found.add(f"{above}>{tag}")
-                above = tag
-        return frozenset(found)
 
     def close() -> None:
         nonlocal linked
         joined = _SPACE.sub(" ", "".join(text)).strip()
         text.clear()
         if joined:
-            out.append(Block(joined, joined.count(" ") + 1, linked, context(), tags.copy()))
+            out.append(Block(joined, joined.count(" ") + 1, linked, elements.context(), elements.sections[-1][1], tags.copy()))
             tags.clear()
         linked = 0
 
@@ -153,7 +207,7 @@ def blocks_of(page: str) -> list[Block]:
         if m["text"] is not None:
             piece = html.unescape(m["text"])
             text.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if elements.places.get("a"):
                 linked += len(piece.split())
             continue
         if m["raw"] is not None:
@@ -163,60 +217,51 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if m["tag"] is None:
             continue
-        tag = m["tag"].lower()
+        tag, empty = m["tag"].lower(), m["attrs"].endswith("/")
         if tag == "svg":
             tags += [] if m["end"] else ["svg"]
             continue
+        formulas = elements.places.get("math")
         if formulas and tag in (_BLOCK if m["end"] else _BREAKS_OUT):
-            del stack[next(k for k, (t, _) in enumerate(stack) if t == "math") :]
-            formulas = 0
+            elements.cut(formulas[0])
+            formulas = None
         if tag == "math" and not m["end"]:
             tags.append("math")
-            if not m["attrs"].endswith("/"):
-                stack.append(("math", frozenset()))
-                formulas += 1
+            if not empty:
+                elements.push("math", frozenset())
             continue
         if formulas:
             # A formula's text is kept, its markup isn't counted.
             if tag == "math":
-                del stack[max(k for k, (t, _) in enumerate(stack) if t == "math") :]
-                formulas -= 1
+                elements.cut(formulas[-1])
             continue
         if tag in _BLOCK:
             close()
         tags.append(tag)
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if elements.places.get(tag):
+                elements.cut(elements.places[tag][-1])
             continue
         if tag in _VOID:
             continue
-        if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    # inline elements left open go on after the paragraph
-                    stack[k:] = [e for e in stack[k + 1 :] if e[0] not in _BLOCK and e[0] != "a"]
-                    break
-                if stack[k][0] in _BLOCK:
-                    break
-        if tag in _SAME:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _SAME[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _BARRIER[tag]:
-                    break
-        if not m["attrs"].endswith("/"):
-            stack.append((tag, _features(tag, m["attrs"])))
+        elements.before(tag)
+        if not empty:
+            elements.push(tag, _features(tag, m["attrs"]))
     close()
     return out
 
 
-def block_features(block: Block) -> set[str]:
-    share = block.linked / block.words
-    return {*block.context, f"linked{min(3, int(share * 4))}", f"words{min(5, int(np.log2(block.words)))}"}
+def block_features(page: list[Block]) -> list[set[str]]:
+    """What is known of each block: its enclosing elements, its links and length, and whether the page has its article elsewhere."""
+    total = sum(b.words for b in page)
+    share = {tag: sum(b.words for b in page if f"<{tag}>" in b.context) / max(total, 1) for tag in ("article", "main")}
+    out = []
+    for b in page:
+        linked, length = min(3, int(b.linked / b.words * 4)), min(5, int(np.log2(b.words)))
+        found = {*b.context, f"linked{linked}", f"words{length}", f"{b.section}&linked{linked}", f"{b.section}&words{length}", f"in:{b.section}"}
+        found |= {f"outside:{tag}{int(share[tag] * 4)}" for tag in share if share[tag] and f"<{tag}>" not in b.context}
+        out.append(found)
+    return out
 
 
 # Labelled pages, by rule ---------------------------------------------------------------------------------------------------
@@ -232,14 +277,10 @@ AROUND = {
     "advert": (["div", "aside", "ins", "section"], ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner ad", "ad slot", "adbox", "adsbygoogle", "teaser", "partner"]),
     "form": (["form", "div", "section"], ["form", "search", "search form", "newsletter", "subscribe", "signup", "sign up", "login", "contact form", "poll", "feedback"]),
     "share": (["div", "ul", "section"], ["share", "sharing", "social", "social links", "share buttons", "follow", "toolbar", "actions", "meta"]),
-    "comments": (["section", "div", "ol", "ul", "article", "aside"], ["comments", "comment", "comment list", "reader comments", "respond", "reply", "discussion", "disqus", "responses", "user comments", "feedback list", "reviews"]),
+    "comments": (["section", "div", "ol", "ul", "article", "aside"], ["comments", "comment", "comment list", "reader comments", "respond", "reply", "replies", "discussion", "disqus", "responses", "user comments", "user notes", "feedback list", "reviews", "guestbook", "opinions", "thread"]),
 }
 
 
-#: Long enough to be told inside another word, as in "cookiebar".
-_STEMS = {w for names in (CONTENT_NAMES, *(n for _, n in AROUND.values())) for name in names for w in name.split() if len(w) >= 5}
-
-
 def labelled_pages(number: int = 700, seed: int = 7) -> Iterator[list[tuple[str, bool | None]]]:
     """Pages as pieces of html, each with whether its words are main text (None: markup alone)."""
     rnd = random.Random(seed)
@@ -264,7 +305,7 @@ def labelled_pages(number: int = 700, seed: int = 7) -> Iterator[list[tuple[str,
         if kind == "comments":
             for _ in range(rnd.randint(1, 5)):
                 t = rnd.choice(["li", "div", "article"]) if tag not in ("ul", "ol") else "li"
-                inner.append((f"<{t}{name(['comment', 'comment body', 'reply', 'review', 'response'])}><b>{words(1)}</b><p>{words(rnd.randint(4, 60))}</p></{t}>", False))
+                inner.append((f"<{t}{name(['comment', 'comment body', 'reply', 'review', 'response', 'user note', 'remark', 'opinion', 'post reply', 'usercomment'])}><b>{words(1)}</b><p>{words(rnd.randint(4, 60))}</p></{t}>", False))
         return [(f"<{tag}{attrs}>", None), *inner, (f"</{tag}>", None)]
 
     for _ in range(number):
@@ -282,6 +323,9 @@ def labelled_pages(number: int = 700, seed: int = 7) -> Iterator[list[tuple[str,
             page.append((f"<header>{head}</header>" if rnd.random() < 0.15 else head, True))
         for _ in range(rnd.randint(1, 12)):
             t = rnd.random()
+            if rnd.random() < 0.12:  # text that is mostly links
+                link = f'<a href="/{words(1)}">{words(rnd.randint(1, 6))}</a>'
+                page.append((rnd.choice([f"<p>{link}</p>", f"<p>{words(1)} {link}</p>", f"<p>{words(2)} {link} {link}</p>", f"<ul>{''.join(f'<li>{link}</li>' for _ in range(rnd.randint(2, 5)))}</ul>"]), True))
             if t < 0.75:
                 inner = words(rnd.randint(1, 120))
                 if rnd.random() < 0.3:
@@ -317,13 +361,13 @@ class Weights:
     tags: dict[str, float]
     other_tag: float
 
-    def of_block(self, block: Block) -> float:
-        """Log-odds that the block is main text."""
-        return self.base + sum(self.blocks.get(f, 0.0) for f in block_features(block))
+    def odds(self, features: set[str]) -> float:
+        """Log-odds that a block is main text."""
+        return self.base + sum(self.blocks.get(f, 0.0) for f in features)
 
 
 @lru_cache(maxsize=2)
-def fit_weights(number: int = 700, seed: int = 7) -> Weights:
+def fit_weights(number: int = 500, seed: int = 7) -> Weights:
     """Learn the weights of words and tags from labelled pages."""
     rows: list[tuple[set[str], bool]] = []
     inside, outside = Counter(), Counter()
@@ -331,16 +375,18 @@ def fit_weights(number: int = 700, seed: int = 7) -> Weights:
         # Labels ride on the text itself: a mark that no word of the page has.
         marked = "".join(re.sub(r">([^<]+)", lambda m, y=y: f">{'⁑' if y else '⁂'}{m[1]}", f">{piece}")[1:] if y is not None else piece for piece, y in page)
         marked = re.sub(r"(<(?:div|aside|ins|section|dialog)\b[^>]*>)([^<⁂⁑]+)", r"\1⁂\2", marked)
-        for block in blocks_of(marked):
+        found = blocks_of(marked)
+        for block, features in zip(found, block_features(found), strict=True):
             main = "⁑" in block.text
-            rows.append((block_features(block), main))
+            rows.append((features, main))
             (inside if main else outside).update(block.tags)
-    names = sorted({f for found, _ in rows for f in found})
+    often = Counter(f for found, _ in rows for f in found)
+    names = sorted(f for f, n in often.items() if n >= 8)
     place = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
+    x = np.zeros((len(rows), len(names)), np.float32)
     for i, (found, _) in enumerate(rows):
-        x[i, [place[f] for f in found]] = 1
-    model = fit_logistic(x, np.array([y for _, y in rows], float), 0.5, ridge=2.0)
+        x[i, [place[f] for f in found if f in place]] = 1
+    model = fit_logistic(x, np.array([y for _, y in rows], float), 0.5, ridge=2.0, tolerance=1e-3)
     weights = model.weights[:-1] / model.scale
     base = float(model.weights[-1] - (weights * model.mean).sum())
     total_in, total_out = sum(inside.values()), sum(outside.values())
@@ -349,21 +395,27 @@ def fit_weights(number: int = 700, seed: int = 7) -> Weights:
     return Weights({f: float(w) for f, w in zip(names, weights, strict=True)}, base, tags, -0.5)
 
 
-def extract(page: str, weights: Weights) -> str:
-    """The main text: positive blocks of the contiguous region of largest score, found in one scan."""
-    blocks = blocks_of(page)
-    odds = [weights.of_block(b) for b in blocks]
-    best, best_range = 0.0, (0, 0)
+def best_region(blocks: list[Block], odds: list[float], weights: Weights) -> tuple[int, int]:
+    """(first, end) of the contiguous blocks of largest score, in one scan."""
+    best, found = 0.0, (0, 0)
     run, start = 0.0, 0
     for k, (block, odd) in enumerate(zip(blocks, odds, strict=True)):
         run += sum(weights.tags.get(t, weights.other_tag) for t in block.tags) if run > 0 else 0.0
         if run <= 0:
             run, start = 0.0, k
-        # What isn't text costs little for each word, so that the scan passes over it to more text beyond.
+        # Words of text score positive; an element that surrounds text costs little, so that the scan passes it to more text beyond.
         run += block.words * min(odd, 4.0) if odd > 0 else max(odd, -4.0) * min(block.words, 4) / 4
         if run > best:
-            best, best_range = run, (start, k + 1)
-    return "\n".join(b.text for b, odd in zip(blocks[slice(*best_range)], odds[slice(*best_range)], strict=True) if odd > 0)
+            best, found = run, (start, k + 1)
+    return found
+
+
+def extract(page: str, weights: Weights) -> str:
+    """The main text: the region of largest score, less the elements in it that are learned to surround text."""
+    blocks = blocks_of(page)
+    odds = [weights.odds(f) for f in block_features(blocks)]
+    first, end = best_region(blocks, odds, weights)
+    return "\n".join(b.text for b, odd in zip(blocks[first:end], odds[first:end], strict=True) if odd > 0)
 
 
 def main_text(pages: DataFrame, weights: Weights | None = None, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

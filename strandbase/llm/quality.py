@@ -4,8 +4,9 @@ Evidence: two logistic models (good quality; toxic) on figures of a text: shares
 kinds of bytes, repetition of words and of word runs, lengths, and the summed
 log-odds of words that are significantly more (or less) frequent in documents with
 a label.  They are fitted on at most ``most_labelled`` labelled documents, those
-with the least hash of their id; that bound is a parameter, and only it makes
-what the driver holds bounded.
+with the least hash of their id (of repeated ids one row counts), and for each label
+with at most ``most_words`` words, those of the largest test statistic; these two
+bounds of the fit are parameters and make what the driver holds bounded.
 
 Sites: over all documents the expected labels are summed by host and by path
 (host and path columns) in a grouped aggregation.  A host's rate is shrunk to the
@@ -138,7 +139,7 @@ class Logistic:
         return np.clip(((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1], -30, 30)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, otherwise: float, ridge: float = 1.0, rounds: int = 40) -> Logistic:
+def fit_logistic(x: np.ndarray, y: np.ndarray, otherwise: float, ridge: float = 1.0, rounds: int = 40, tolerance: float = 1e-8) -> Logistic:
     """Ridge logistic regression by Newton steps; with one class only, a constant."""
     d = x.shape[1]
     rate = float((y.sum() + otherwise) / (len(y) + 1))
@@ -154,7 +155,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, otherwise: float, ridge: float =
         v = np.maximum(p * (1 - p), 1e-9)
         step = np.linalg.solve((z * v[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
         w += step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < tolerance:
             break
     return Logistic(mean, scale, w, rate)
 
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     """Fit the evidence on a bounded sample of labelled documents."""
     known = labels.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max("quality").alias("good"), F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(sample), "id").select("text", "good", "toxic")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("text", "good", "toxic")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,8 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     good, zg = odds("a", "b", n[0], n[1])
     toxic, zt = odds("c", "d", n[2], n[3])
     enough = (F.col("a") + F.col("b") >= 3) | (F.col("c") + F.col("d") >= 3)
-    kept = counts.where(enough).select("word", F.when(F.abs(zg) > 4, good).otherwise(0.0).alias("good"), F.when(F.abs(zt) > 4, toxic).otherwise(0.0).alias("toxic"), F.greatest(F.abs(zg), F.abs(zt)).alias("z"))
-    words = kept.where("good != 0 or toxic != 0").orderBy(F.desc("z"), "word").limit(most_words).collect()
+    kept = counts.where(enough).select("word", F.when(F.abs(zg) > 4, good).otherwise(0.0).alias("good"), F.when(F.abs(zt) > 4, toxic).otherwise(0.0).alias("toxic"), F.abs(zg).alias("zg"), F.abs(zt).alias("zt"))
+    # A list for each label, so that the words of a rare one aren't pushed out by those of the other.
+    lists = [kept.where(f"{label} != 0").orderBy(F.desc(z), "word").limit(most_words) for label, z in (("good", "zg"), ("toxic", "zt"))]
+    words = lists[0].union(lists[1]).distinct().collect()
     keys = np.array([w.word for w in words], np.int64).view(U64)
     order = np.argsort(keys)
     lexicon = Lexicon(keys[order], np.array([w.good for w in words])[order], np.array([w.toxic for w in words])[order])
