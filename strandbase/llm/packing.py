@@ -8,8 +8,9 @@ to the sequence of lowest cost that has room for all of it.  What finds no room
 whole is cut over the sequences with the most room left, so that every group
 fills its sequences but for less than one.
 
-Documents are dealt to groups by a hash of their id and text; a group holds a
-bounded number of tokens whatever the input's size, and groups pack independently.
+Documents are dealt to groups by a hash of their id and text, rows that are repeated
+whole by a hash of their place besides; a group holds a bounded number of tokens
+(or one longer document) whatever the input's size, and groups pack independently.
 The number of groups grows with the input.
 
 Null texts are empty documents (one end id); null and repeated ids keep a piece
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
 from .tokencount import encoder, texts_of
 from .vectext import slices
 
@@ -101,7 +103,15 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, groups: int, id_colu
 
     kind = docs.schema[id_column].dataType.simpleString()
     tie = F.xxhash64(F.col(id_column), F.col(text_column))
-    slim = docs.select(F.pmod(tie, F.lit(groups)).cast("int").alias("grp"), F.col(id_column).alias("id"), tie.alias("tie"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_column).alias("id"), tie.alias("tie"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    # Rows are dealt by id and text, repeated ones by their place in a written table besides, which a lost executor doesn't change.
+    repeated = materialise(rows.groupBy("id", "tie").count().where("count > 1").select(F.col("tie").alias("again")).distinct(), "repeated-rows")
+    grp = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("grp")
+    slim = rows.select(grp("tie"), "id", "tie", "text")
+    if repeated.head(1):
+        copies = materialise(rows.join(repeated, F.col("tie") == F.col("again"), "left_semi").withColumn("place", F.monotonically_increasing_id()), "copies")
+        single = slim.join(repeated, F.col("tie") == F.col("again"), "left_anti")
+        slim = single.unionByName(copies.select(grp("tie", "place"), "id", "tie", "text"))
     return slim.mapInArrow(encode, f"grp int, id {kind}, tie long, ids binary")
 
 

@@ -12,7 +12,7 @@ replicated to every anchor within covering radius plus one that can be home to
 a fingerprint one bit away.  Only homes are compared with the replicas at their
 anchor, in blocks of bounded size, and pairs leave as spanning edges, so dense
 anchors give few rows.  Anchors with many fingerprints are split over a grid of
-salts, each compared apart; nothing is dropped.
+salts, each cell of bounded size and compared apart; nothing is dropped.
 
 Equal fingerprints are merged before the search and linked by it to the rest;
 connected components of the links are the groups.  Null texts count as empty, and
@@ -36,7 +36,8 @@ from .shared import materialise
 from .vectext import LOWER, ranges, slices, string_parts, word_spans
 
 PAIRS = 1 << 21
-HOT = 4096
+#: Fingerprints on each side of a cell.
+HOT = 16_384
 
 # Hamming code of 15 bits: position i carries the column i + 1; the syndrome is the columns' sum.
 _SYNDROME = np.zeros(1 << 15, np.int64)
@@ -136,7 +137,7 @@ def links(classes: DataFrame, threshold: int = 4) -> DataFrame:
 
     replicas = classes.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
     sizes = replicas.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    hot = materialise(sizes.select("anchor", F.ceil(F.sqrt(F.col("n") / HOT)).cast("int").alias("k")), "hot-anchors")
+    hot = materialise(sizes.select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("k")), "hot-anchors")
     number = hot.count()
     if number:
         small = F.broadcast(hot) if number <= 100_000 else hot
