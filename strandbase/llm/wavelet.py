@@ -192,7 +192,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
 
 
 def read_shards(spark: SparkSession, path: str, id_column: str = "doc_id", kind: str = "bigint") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, from the files; ``kind`` is the id's type."""
+    """(id, start, n_tokens, ids_crc32, first_id, first_id_rank) of every document, from the files; ``kind`` is the id's type.
+
+    ``first_id`` is the document's first token, ``first_id_rank`` how often it stands before in its shard: both by the
+    matrix's access and rank, without decoding.
+    """
     table = spark.read.schema(SCHEMA.format(kind=kind)).parquet(path)
     # A row for each shard: its place among all ids.  Parts are summed first, so that no window sees all shards.
     per_part = table.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
@@ -210,14 +214,18 @@ def read_shards(spark: SparkSession, path: str, id_column: str = "doc_id", kind:
                 whole = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(whole[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 begin = ends - sizes
+                # The first id of each document by access, how often it stood in the shard before by rank.
+                first = [matrix.access(b) for b in begin.tolist()]
+                earlier = [matrix.rank(v, b) for v, b in zip(first, begin.tolist(), strict=True)]
+                columns = [begin, sizes.astype(np.int64), np.array(crc, np.int64), np.array(first, np.int64), np.array(earlier, np.int64)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("part").take([k] * len(sizes)), batch.column("shard").take([k] * len(sizes)), batch.column("doc_ids")[k].values, pa.array(begin), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())],
-                    ["part", "shard", "id", "inner", "n_tokens", "ids_crc32"],
+                    [batch.column("part").take([k] * len(sizes)), batch.column("shard").take([k] * len(sizes)), batch.column("doc_ids")[k].values, *map(pa.array, columns)],
+                    ["part", "shard", "id", "inner", "n_tokens", "ids_crc32", "first_id", "first_id_rank"],
                 )
 
-    read = table.select("part", "shard", "doc_ids", "doc_tokens", "matrix").mapInArrow(documents, f"part int, shard int, id {kind}, inner long, n_tokens long, ids_crc32 long")
+    read = table.select("part", "shard", "doc_ids", "doc_tokens", "matrix").mapInArrow(documents, f"part int, shard int, id {kind}, inner long, n_tokens long, ids_crc32 long, first_id long, first_id_rank long")
     out = read.join(starts, ["part", "shard"])
-    return out.select(F.col("id").alias(id_column), (F.col("first") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+    return out.select(F.col("id").alias(id_column), (F.col("first") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "first_id", "first_id_rank")
 
 
 def token_file(docs: DataFrame, **options) -> DataFrame:
