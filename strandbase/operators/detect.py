@@ -249,9 +249,9 @@ def d11(spark, d):
 
 def dictionary_ids(df: DataFrame, column: str) -> DataFrame:
     """(value, id): distinct values numbered in their order; only distinct values are ranked."""
-    from ..plans.ordered import global_rank
+    from ..plans.ordered import ranked
 
-    return global_rank(df.select(F.col(column).alias("value")).distinct(), F.substring("value", 1, 4), ["value"], "id").withColumn("id", F.col("id") - 1)
+    return ranked(df.select(F.col(column).alias("value")).distinct(), ["value"], "id").withColumn("id", F.col("id") - 1)
 
 
 @query("d12_row_dictionary", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_name) - 1 AS id FROM part")

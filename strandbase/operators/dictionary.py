@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import table, words
-from ..plans.ordered import global_rank
+from ..plans.ordered import predecessor, ranked
 from ..plans.paths import scratch
 from ..registry import query
 
@@ -306,9 +306,8 @@ def x14(spark, d):
 @query("x15_sampled_codebook_choice", "WITH v AS (SELECT c_mktsegment AS v FROM customer WHERE c_custkey % 10 = 0), n AS (SELECT v, count(*) AS n FROM v GROUP BY v), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS k FROM n) SELECT size, CAST(sum(CASE WHEN k <= size THEN n + octet_length(encode(v)) ELSE n * octet_length(encode(v)) END) AS BIGINT) AS cost FROM r, (SELECT unnest([0, 1, 2, 4, 8]) AS size) GROUP BY size")
 def x15(spark, d):
     sample = table(spark, d, "customer").where("c_custkey % 10 = 0").groupBy(F.col("c_mktsegment").alias("v")).agg(F.count("*").alias("n"))
-    ranked = global_rank(sample, -F.col("n"), [F.desc("n"), "v"], "k")
     size = F.octet_length("v")
-    each = ranked.withColumn("size", F.explode(F.array(*(F.lit(s) for s in (0, 1, 2, 4, 8)))))
+    each = ranked(sample, [F.desc("n"), "v"], "k").withColumn("size", F.explode(F.array(*(F.lit(s) for s in (0, 1, 2, 4, 8)))))
     return each.groupBy("size").agg(F.sum(F.when(F.col("k") <= F.col("size"), F.col("n") + size).otherwise(F.col("n") * size)).cast("long").alias("cost"))
 
 
@@ -328,7 +327,20 @@ def front_coded(df: DataFrame, value: str, bucket: Column) -> DataFrame:
     w = Window.partitionBy("bucket").orderBy(value)
     rows = df.select(value).distinct().withColumn("bucket", bucket).withColumn("prev", F.coalesce(F.lag(value).over(w), F.lit("")))
     lcp = common_prefix(F.col("prev"), F.col(value))
-    return rows.withColumn("lcp", lcp).select(F.col(value).alias("value"), "lcp", F.substring(F.col(value), F.col("lcp") + 1, F.lit(1 << 20)).alias("suffix"))
+    return rows.withColumn("lcp", lcp).select(F.col(value).alias("value"), "lcp", rest_of(F.col(value), F.col("lcp")))
+
+
+def rest_of(value: Column, at: Column) -> Column:
+    """All that follows the first ``at`` characters."""
+    return F.substring(value, at + 1, F.length(value)).alias("suffix")
+
+
+@query("x16b_front_coding_one_order", f"WITH u AS (SELECT DISTINCT url FROM pages), o AS (SELECT url, coalesce(lag(url) OVER (ORDER BY url), '') AS prev FROM u), l AS (SELECT url, CAST({{}} AS INTEGER) AS lcp FROM o) SELECT url AS value, lcp, substring(url, lcp + 1) AS suffix FROM l".format("len(list_filter(range(1, least(length(prev), length(url)) + 1), lambda i: substring(prev, 1, CAST(i AS INT)) = substring(url, 1, CAST(i AS INT))))"))
+def x16b(spark, d):
+    """Every value but the very first is coded by its true predecessor, over ranges of the order."""
+    rows = predecessor(table(spark, d, "pages"), "url")
+    lcp = common_prefix(F.coalesce("prev", F.lit("")), F.col("url"))
+    return rows.withColumn("lcp", lcp).select(F.col("url").alias("value"), "lcp", rest_of(F.col("url"), F.col("lcp")))
 
 
 _LCP = "len(list_filter(range(1, least(length({0}), length({1})) + 1), lambda i: substring({0}, 1, CAST(i AS INT)) = substring({1}, 1, CAST(i AS INT))))"
@@ -362,7 +374,7 @@ def x20(spark, d):
 @query("x21_frequency_renumbering", "SELECT p_type AS v, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS id FROM part GROUP BY p_type")
 def x21(spark, d):
     n = table(spark, d, "part").groupBy(F.col("p_type").alias("v")).agg(F.count("*").alias("n"))
-    return global_rank(n, -F.col("n"), [F.desc("n"), "v"], "id").select("v", (F.col("id") - 1).cast("long").alias("id"))
+    return ranked(n, [F.desc("n"), "v"], "id").select("v", (F.col("id") - 1).cast("long").alias("id"))
 
 
 @query("x23_bounded_pair_dictionary", "SELECT s_suppkey, s_name AS text, true AS bounded FROM supplier")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bit_width, micros, table, varint_bytes, zigzag
-from ..plans.ordered import block_of, global_rank, previous, running_sum
+from ..plans.ordered import block_of, global_rank, previous, ranked, running_sum
 from ..registry import query
 
 
@@ -158,6 +158,31 @@ def i12(spark, d):
     return table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 5).alias("word")).agg(F.sum((F.col("o_custkey") % 1000) * power).cast("long").alias("packed"))
 
 
+def radix_pack(df: DataFrame, row_id: str, value: str, radix: int, digits: int) -> DataFrame:
+    """(word, n, packed): ``digits`` consecutive values below ``radix`` in one number, the first the lowest digit."""
+    assert radix**digits < 1 << 63
+    place = F.pmod(F.col(row_id), F.lit(digits))
+    power = F.element_at(F.array(*(F.lit(radix**k).cast("long") for k in range(digits))), (place + 1).cast("int"))
+    fits = F.when((F.col(value) < 0) | (F.col(value) >= radix), F.raise_error(F.lit("a value is not below the radix"))).otherwise(F.col(value))
+    return df.groupBy(F.floor(F.col(row_id) / digits).alias("word")).agg(F.sum(fits.cast("long") * power).cast("long").alias("packed"), F.sort_array(F.collect_list(place.cast("int"))).alias("places"))
+
+
+def radix_unpack(packed: DataFrame, radix: int, digits: int) -> DataFrame:
+    """(row_id, v) from words of ``radix_pack``."""
+    powers = F.array(*(F.lit(radix**k).cast("long") for k in range(digits)))
+    each = packed.select("word", "packed", F.explode("places").alias("place"))
+    digit = F.pmod(F.floor(F.col("packed") / F.element_at(powers, F.col("place") + 1).cast("decimal(20,0)")).cast("long"), F.lit(radix))
+    return each.select((F.col("word") * digits + F.col("place")).alias("row_id"), digit.alias("v"))
+
+
+@query("i12b_radix_pack_roundtrip", "SELECT l.row_id, l.v, CAST(p.packed AS BIGINT) AS packed FROM (SELECT o_orderkey AS row_id, o_custkey AS v FROM orders) l JOIN (SELECT o_orderkey // 3 AS word, sum(o_custkey * CAST(pow(2000003, o_orderkey % 3) AS HUGEINT)) AS packed FROM orders GROUP BY ALL) p ON p.word = l.row_id // 3")
+def i12b(spark, d):
+    """Three whole values a word; the rows come out of the words."""
+    words = radix_pack(_keys(spark, d), "row_id", "v", 2_000_003, 3)
+    back = radix_unpack(words, 2_000_003, 3)
+    return back.join(words.select("word", "packed"), F.floor(F.col("row_id") / 3) == F.col("word")).select("row_id", "v", "packed")
+
+
 @query("i13_decimal_triplets", "SELECT c_custkey, (CAST(substring(c_name, 10, 3) AS BIGINT) << 20) | (CAST(substring(c_name, 13, 3) AS BIGINT) << 10) | CAST(substring(c_name, 16, 3) AS BIGINT) AS packed FROM customer")
 def i13(spark, d):
     part = lambda at: F.substring("c_name", at, 3).cast("long")
@@ -187,7 +212,8 @@ def i16(spark, d):
 
 @query("i17_rank_permutation", "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_name, c_custkey) AS place FROM customer")
 def i17(spark, d):
-    return global_rank(table(spark, d, "customer"), F.concat("c_mktsegment", F.substring("c_name", 1, 15)), ["c_mktsegment", "c_name", "c_custkey"], "place").select("c_custkey", F.col("place").cast("long").alias("place"))
+    rows = table(spark, d, "customer").select("c_mktsegment", "c_name", "c_custkey")
+    return ranked(rows, ["c_mktsegment", "c_name", "c_custkey"], "place").select("c_custkey", F.col("place").cast("long").alias("place"))
 
 
 @query(

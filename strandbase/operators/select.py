@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import table
-from ..plans.ordered import block_of, global_rank, running_sum
+from ..plans.ordered import BLOCK, block_of, global_rank, running_sum
 from ..registry import query
 
 FEW = 200_000
@@ -16,6 +16,7 @@ FEW = 200_000
 
 def take(rows: DataFrame, ids: DataFrame, row_id: str = "row_id", value: str = "value") -> DataFrame:
     """Rows by id with their offset in the concatenated answer; ids are broadcast if they are counted to be few."""
+    ids = ids.select(row_id)  # so a row of the broadcast is one id
     side = F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
     hit = rows.join(side, row_id, "left_semi")
     return running_sum(hit, block_of(row_id), [row_id], F.octet_length(value).cast("long"), "offset")
@@ -31,7 +32,9 @@ def take_planned(rows: DataFrame, ids: DataFrame, n_rows: int, row_id: str = "ro
 def nested_sample(rows: DataFrame, percents: list[float], n_rows: int, row_id: str = "row_id", seed: str = "123", ceiling: bool = False) -> DataFrame:
     """(percent, row_id): the floor (or ceiling) of n p / 100 rows least in the order of a seeded hash; larger percents hold smaller ones."""
     key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(row_id).cast("string")))
-    ranked = global_rank(rows.select(row_id).withColumn("key", key), F.substring("key", 1, 3), ["key", row_id])
+    digits = max(1, math.ceil(math.log(max(n_rows, 1) / BLOCK + 1, 16)))  # of the hash: buckets hold about BLOCK rows at any size
+    bucket = F.conv(F.substring("key", 1, min(digits, 12)), 16, 10).cast("long")
+    ranked = global_rank(rows.select(row_id).withColumn("key", key), bucket, ["key", row_id])
     size = math.ceil if ceiling else math.floor
     wanted = [F.struct(F.lit(float(p)).alias("percent"), F.lit(size(n_rows * p / 100)).alias("k")) for p in percents]
     return ranked.select(row_id, "rank", F.explode(F.array(*wanted)).alias("w")).where("rank <= w.k").select("w.percent", row_id)
@@ -64,11 +67,11 @@ def span_take(rows: DataFrame, ids: DataFrame, row_id: str = "row_id", value: st
 
 def checkpoints(rows: DataFrame, row_id: str, value: str, every: int = 32) -> DataFrame:
     """Each row's offset as its block's absolute offset and the offset inside the block."""
-    size = F.octet_length(value).cast("long")
-    run = running_sum(rows, block_of(row_id), [row_id], size, "offset")
-    block = F.floor(F.col(row_id) / every)
-    firsts = run.where(F.pmod(F.col(row_id), F.lit(every)) == 0).select(block.alias("block"), F.col("offset").alias("block_offset"))
-    return run.withColumn("block", block).join(firsts, "block").withColumn("inner_offset", F.col("offset") - F.col("block_offset"))
+    size = F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    run = running_sum(rows, block_of(row_id), [row_id], size, "offset").withColumn("block", F.floor(F.col(row_id) / every))
+    # A block begins at its least row, whichever id that has.
+    first = F.min("offset").over(Window.partitionBy("block"))
+    return run.withColumn("block_offset", first).withColumn("inner_offset", F.col("offset") - F.col("block_offset"))
 
 
 def _names(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bit_width, lines, micros, table
-from ..plans.ordered import global_rank, previous
+from ..plans.ordered import global_rank, previous, ranked
 from ..registry import query
 
 _UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -82,8 +82,8 @@ def j4(spark, d):
 
 @query("j5_frequency_order", f"WITH {_LOG}, m AS (SELECT {_MASK} AS template, count(*) AS n, min(event_id) AS first FROM l GROUP BY 1) SELECT template, row_number() OVER (ORDER BY n DESC, first) - 1 AS id FROM m")
 def j5(spark, d):
-    found = templates(log_lines(spark, d), "event_id", "line")  # a row for each template: few
-    return found.select("template", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).cast("long").alias("id"))
+    found = templates(log_lines(spark, d), "event_id", "line")
+    return ranked(found.select("template", "n", "first"), [F.desc("n"), "first"], "id").select("template", (F.col("id") - 1).cast("long").alias("id"))
 
 
 @query("j6_template_rendering", f"WITH {_LOG} SELECT event_id, line FROM l")
@@ -123,7 +123,7 @@ def j9(spark, d):
 def j10(spark, d):
     part = table(spark, d, "part")
     keys = ["p_brand", "p_type", "p_size"]
-    ids = global_rank(part.select(*keys).distinct(), F.col("p_brand"), keys, "id").withColumn("id", (F.col("id") - 1).cast("long"))
+    ids = ranked(part.select(*keys).distinct(), keys, "id").withColumn("id", (F.col("id") - 1).cast("long"))
     return part.join(ids, keys).select("p_partkey", "id")
 
 

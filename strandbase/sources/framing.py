@@ -8,11 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lines, table
-from ..plans.ordered import block_of, running_sum
+from ..plans.ordered import block_of, ranked, running_sum
 from ..registry import query
 
 
@@ -96,8 +96,9 @@ def s3(spark, d):
 
 def until_bytes(rows: DataFrame, row_id: str, size, limit: int, whole_last: bool = True) -> DataFrame:
     """Rows in order while what precedes them is less than ``limit`` bytes; or, not ``whole_last``, while they fit."""
-    run = running_sum(rows, block_of(row_id), [row_id], size, "before")
-    return run.where(F.col("before") < limit if whole_last else F.col("before") + size <= limit)
+    slim = rows.select(row_id, F.coalesce(size, F.lit(0)).cast("long").alias("__n"))  # the values themselves stay where they are
+    run = running_sum(slim, block_of(row_id), [row_id], F.col("__n"), "before")
+    return run.where(F.col("before") < limit if whole_last else F.col("before") + F.col("__n") <= limit).drop("__n")
 
 
 @query(
@@ -115,7 +116,7 @@ def inflate(rows: DataFrame, row_id: str, size, limit: int) -> DataFrame:
     total = rows.agg(F.sum(size)).first()[0] or 0
     copies = -(-limit // total) if total else 0
     each = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max(copies - 1, 0))))) if copies else rows.limit(0).withColumn("copy", F.lit(0))
-    run = running_sum(each, F.struct("copy", block_of(row_id)), [row_id], size, "before")
+    run = running_sum(each, F.col("copy").cast("long") * (1 << 40) + block_of(row_id), [row_id], size, "before")
     return run.where(F.col("before") < limit)
 
 
@@ -134,9 +135,8 @@ def s5(spark, d):
     """SELECT page_id, CAST(coalesce(sum(octet_length(encode(html)) + 1) OVER (ORDER BY url, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, octet_length(encode(html)) + 1 AS n_bytes FROM pages""",
 )
 def s8(spark, d):
-    size = (F.octet_length("html") + 1).cast("long")
-    run = running_sum(table(spark, d, "pages"), F.substring("url", 1, 12), ["url", "page_id"], size, "start")
-    return run.select("page_id", F.col("start").cast("long").alias("start"), size.alias("n_bytes"))
+    sizes = table(spark, d, "pages").select("url", "page_id", (F.octet_length("html") + 1).cast("long").alias("n_bytes"))
+    return ranked(sizes, ["url", "page_id"], "start", F.col("n_bytes")).select("page_id", F.col("start").cast("long").alias("start"), "n_bytes")
 
 
 @query(
@@ -147,8 +147,7 @@ def s8(spark, d):
     WHERE before < 1000000""",
 )
 def s9(spark, d):
-    run = running_sum(lines(table(spark, d, "documents")), F.floor(F.col("doc_id") / 64), ["doc_id", "line_no"], (F.octet_length("line") + 1).cast("long"), "before")
-    return run.where("before < 1000000").select("doc_id", "line_no", F.col("before").cast("long").alias("before"))
+    return lines_until(table(spark, d, "documents"), 999_999)
 
 
 _LINES = """SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(before AS BIGINT) AS before FROM (
@@ -156,18 +155,25 @@ _LINES = """SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(before AS B
       FROM (SELECT doc_id, unnest(ps) AS line, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)))"""
 
 
-def _lines_with_offset(spark, d) -> DataFrame:
-    run = running_sum(lines(table(spark, d, "documents")), block_of("doc_id", 64), ["doc_id", "line_no"], (F.octet_length("line") + 1).cast("long"), "before")
-    return run.select("doc_id", "line_no", F.col("before").cast("long").alias("before"))
+def lines_until(docs: DataFrame, most: int, row_id: str = "doc_id") -> DataFrame:
+    """(row_id, line_no, before): lines that at most ``most`` bytes stand before.
+
+    Sizes are summed over documents first; only texts that begin in time are cut into lines.
+    """
+    begins = until_bytes(docs, row_id, F.octet_length("text") + 1, most + 1).withColumnRenamed("before", "__base")
+    each = lines(docs).select(row_id, "line_no", (F.octet_length("line") + 1).cast("long").alias("__n")).join(begins, row_id)
+    w = Window.partitionBy(row_id).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    run = each.withColumn("before", F.col("__base") + F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    return run.where(F.col("before") <= most).select(row_id, "line_no", F.col("before").cast("long").alias("before"))
 
 
 @query("s4b_scan_seven_megabytes", f"{_LINES} WHERE before <= 7000000")
 def s4b(spark, d):
     """Lines until more than 7,000,000 bytes are read: the line that passes them is the last."""
-    return _lines_with_offset(spark, d).where("before <= 7000000")
+    return lines_until(table(spark, d, "documents"), 7_000_000)
 
 
 @query("s9b_hundred_megabyte_prefix", f"{_LINES} WHERE before < 100000000")
 def s9b(spark, d):
     """Whole lines through the first that reaches 100 MB."""
-    return _lines_with_offset(spark, d).where("before < 100000000")
+    return lines_until(table(spark, d, "documents"), 99_999_999)
