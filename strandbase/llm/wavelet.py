@@ -134,6 +134,23 @@ class WaveletMatrix:
             at = self._select(level, at - self.zeros[level], 1) if path[level] else self._select(level, at, 0)
         return at
 
+    def access_and_rank(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the value at each place, its occurrences before), many places at once: one pass down the planes."""
+        at, low, value = places.astype(np.int64), np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        for level in range(self.levels):
+            plane = self.planes[level]
+            before = np.concatenate(([0], np.cumsum(np.bitwise_count(plane), dtype=np.int64)))
+            padded = np.append(plane, np.uint8(0))
+
+            def ones(i: np.ndarray, before=before, padded=padded) -> np.ndarray:
+                return before[i >> 3] + np.bitwise_count(padded[i >> 3] & ((1 << (i & 7)) - 1).astype(np.uint8))
+
+            bit = (plane[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            a, b = ones(at), ones(low)
+            at, low = np.where(bit, self.zeros[level] + a, at - a), np.where(bit, self.zeros[level] + b, low - b)
+            value = value << 1 | bit
+        return value, at - low
+
     def values(self, kind=np.uint16) -> np.ndarray:
         """The whole sequence, undoing the partitions from the lowest plane up."""
         out = np.zeros(self.n, kind)
@@ -214,10 +231,9 @@ def read_shards(spark: SparkSession, path: str, id_column: str = "doc_id", kind:
                 whole = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(whole[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 begin = ends - sizes
-                # The first id of each document by access, how often it stood in the shard before by rank.
-                first = [matrix.access(b) for b in begin.tolist()]
-                earlier = [matrix.rank(v, b) for v, b in zip(first, begin.tolist(), strict=True)]
-                columns = [begin, sizes.astype(np.int64), np.array(crc, np.int64), np.array(first, np.int64), np.array(earlier, np.int64)]
+                # The first id of each document, and how often it stands before.
+                first, earlier = matrix.access_and_rank(begin)
+                columns = [begin, sizes.astype(np.int64), np.array(crc, np.int64), first, earlier]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("part").take([k] * len(sizes)), batch.column("shard").take([k] * len(sizes)), batch.column("doc_ids")[k].values, *map(pa.array, columns)],
                     ["part", "shard", "id", "inner", "n_tokens", "ids_crc32", "first_id", "first_id_rank"],

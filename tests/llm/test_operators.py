@@ -369,6 +369,20 @@ def test_op7_links_are_complete(spark):
         assert sorted(map(sorted, together.values())) == sorted(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("hub, most", [(1 << 12, 100_000), (2, 100_000), (2, 1)])
+def test_components_with_hubs(spark, hub, most, monkeypatch):
+    from strandbase.llm import components as c
+
+    monkeypatch.setattr(c, "HUB", hub)
+    monkeypatch.setattr(c, "MOST_HUBS", most)
+    rng = np.random.default_rng(4)
+    pairs = [(0, k) for k in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(int(a), int(b)) for a, b in rng.integers(200, 320, (90, 2))] + [(139, 200)]
+    want = brute.components(320, lambda i, j: (i, j) in pairs or (j, i) in pairs)
+    nodes = {x for p in pairs if p[0] != p[1] for x in p}
+    got = {r.node: r.component for r in c.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {x: want[x] for x in nodes}
+
+
 @pytest.mark.parametrize("cell", [8192, 2])
 def test_op8(spark, docs, rows, empty, cell):
     from strandbase.llm import linededup
@@ -497,6 +511,8 @@ def test_wavelet_matrix():
     for i in range(0, 3000, 41):
         k = int((v[:i] == v[i]).sum())
         assert (w.access(i), w.rank(int(v[i]), i), w.select(int(v[i]), k)) == (v[i], k, i)
+    many = np.arange(0, 3000, 7)
+    assert [x.tolist() for x in w.access_and_rank(many)] == [v[many].tolist(), [w.rank(int(v[i]), int(i)) for i in many]]
     assert w.select(5, 10**6) == -1 and w.rank(299, 3000) == (v == 299).sum()
     for n in (0, 1, 512, 513):
         assert WaveletMatrix.from_buffer(WaveletMatrix.build(v[:n], 9).to_bytes()).values().tolist() == v[:n].tolist()
