@@ -288,6 +288,36 @@ def d16(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
+def smallest_encodings(df: DataFrame, name: str = "name", value: str = "v") -> DataFrame:
+    """(name, raw, dictionary, numbered, choice): bytes of each column in three encodings; raw stays where none is smaller.
+
+    raw: values and ends.  dictionary: distinct values and an index a row.  numbered: one prefix and four
+    bytes a row, for columns that are the prefix and digits of one length throughout; else null.
+    """
+    parts = df.groupBy(name, value).agg(F.count("*").alias("n")).withColumn("size", F.octet_length(value) + 1).withColumn("prefix", F.regexp_extract(value, "^([^0-9]*)[0-9]{1,9}$", 1))
+    fits = F.bool_and(F.col(value).rlike("^[^0-9]*[0-9]{1,9}$")) & (F.min("prefix") == F.max("prefix")) & (F.min("size") == F.max("size"))
+    stats = parts.groupBy(name).agg(F.sum("n").alias("rows"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("size")).alias("raw"), F.sum("size").alias("values"), fits.alias("fits"), F.octet_length(F.min("prefix")).alias("p"))
+    index = F.when(F.col("k") <= 256, 1).when(F.col("k") <= 65_536, 2).otherwise(4)
+    sized = stats.select(name, F.col("raw").cast("long").alias("raw"), (F.col("values") + F.col("rows") * index).cast("long").alias("dictionary"), F.when(F.col("fits"), F.col("rows") * 4 + F.col("p") + 1).cast("long").alias("numbered"))
+    least = F.least("dictionary", "numbered")
+    choice = F.when(least >= F.col("raw"), "raw").when(F.col("numbered") == least, "numbered").otherwise("dictionary")
+    return sized.withColumn("choice", choice)
+
+
+@query(
+    "d16b_smallest_encoding_or_raw",
+    r"""WITH r AS (SELECT 'c_name' AS name, c_name AS v FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'url', url FROM pages UNION ALL SELECT 'p_key', CAST(p_partkey AS VARCHAR) FROM part),
+    p AS (SELECT name, v, count(*) AS n, octet_length(encode(v)) + 1 AS size, regexp_extract(v, '^([^0-9]*)[0-9]{1,9}$', 1) AS prefix FROM r GROUP BY name, v),
+    s AS (SELECT name, sum(n) AS n, count(*) AS k, sum(n * size) AS raw, sum(size) AS vals, bool_and(regexp_matches(v, '^[^0-9]*[0-9]{1,9}$')) AND min(prefix) = max(prefix) AND min(size) = max(size) AS fits, octet_length(encode(min(prefix))) AS p FROM p GROUP BY name),
+    z AS (SELECT name, CAST(raw AS BIGINT) AS raw, CAST(vals + n * CASE WHEN k <= 256 THEN 1 WHEN k <= 65536 THEN 2 ELSE 4 END AS BIGINT) AS dictionary, CASE WHEN fits THEN CAST(n * 4 + p + 1 AS BIGINT) END AS numbered FROM s)
+    SELECT *, CASE WHEN least(dictionary, coalesce(numbered, dictionary)) >= raw THEN 'raw' WHEN numbered <= dictionary THEN 'numbered' ELSE 'dictionary' END AS choice FROM z""",
+)
+def d16b(spark, d):
+    of = lambda t, c: table(spark, d, t).select(F.lit(c).alias("name"), F.col(c).cast("string").alias("v"))
+    keys = table(spark, d, "part").select(F.lit("p_key").alias("name"), F.col("p_partkey").cast("string").alias("v"))
+    return smallest_encodings(of("customer", "c_name").unionByName(of("customer", "c_mktsegment")).unionByName(of("part", "p_brand")).unionByName(of("pages", "url")).unionByName(keys))
+
+
 @query(
     "d17_url_date_family",
     r"SELECT page_id, lang, CAST(y << 9 | (m << 5) | dd AS BIGINT) AS packed FROM (SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS lang, CAST(2000 + page_id % 30 AS BIGINT) AS y, CAST(1 + page_id % 12 AS BIGINT) AS m, CAST(1 + page_id % 28 AS BIGINT) AS dd FROM pages)",

@@ -123,12 +123,12 @@ def expand(tokens: DataFrame, rules: DataFrame, row_id: str) -> DataFrame:
     spark = tokens.sparkSession
     path = scratch(spark, "expansion")
     known = rules.select(F.col("id"), F.array("a", "b").alias("parts"))
-    while True:  # expand the rules themselves first: few rows
+    for depth in itertools.count():  # expand the rules themselves first: few rows
         open_ = known.select("id", F.posexplode("parts").alias("pos", "p"))
         deeper = open_.join(rules.select(F.col("id").alias("p"), "a", "b"), "p", "left")
         step = deeper.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("a").isNull(), F.array("p")).otherwise(F.array("a", "b")).alias("q")))).alias("s"), F.count("a").alias("more"))
         step = step.select("id", F.flatten(F.transform("s", lambda x: x["q"])).alias("parts"), "more")
-        place = f"{path}/{id(step)}"
+        place = f"{path}/{depth}"
         step.write.parquet(place)
         step = spark.read.schema(step.schema).parquet(place)
         known = step.select("id", "parts")
@@ -399,13 +399,17 @@ def x24(spark, d):
 
 
 def merge_losses(counts: DataFrame) -> DataFrame:
-    """(a, b, loss): bits lost if the contexts a < b share one table; contexts are at most 256, so all pairs are few."""
+    """(a, b, loss): bits lost if the contexts a < b share one table; more than 256 contexts are an error, so all pairs are few."""
+    if counts.select("context").distinct().limit(257).count() > 256:
+        raise ValueError("more than 256 contexts")
     ent = lambda n, t: n * F.log2(t / n)
     totals = counts.groupBy("context").agg(F.sum("n").alias("t"))
     own = counts.join(totals, "context").groupBy("context", "t").agg(F.sum(ent(F.col("n"), F.col("t"))).alias("bits"))
     a, b = own.select(F.col("context").alias("a"), F.col("t").alias("ta"), F.col("bits").alias("ba")), own.select(F.col("context").alias("b"), F.col("t").alias("tb"), F.col("bits").alias("bb"))
     pairs = a.join(b, F.col("a") < F.col("b"))
-    both = pairs.join(counts, (F.col("context") == F.col("a")) | (F.col("context") == F.col("b"))).groupBy("a", "b", "ta", "tb", "ba", "bb", "sym").agg(F.sum("n").alias("n"))
+    # Each side of a pair brings its own counts by an equi-join.
+    sides = [pairs.join(counts, F.col("context") == F.col(side)).select("a", "b", "ta", "tb", "ba", "bb", "sym", "n") for side in ("a", "b")]
+    both = sides[0].unionByName(sides[1]).groupBy("a", "b", "ta", "tb", "ba", "bb", "sym").agg(F.sum("n").alias("n"))
     joint = both.groupBy("a", "b", "ba", "bb").agg(F.sum(ent(F.col("n"), F.col("ta") + F.col("tb"))).alias("bits"))
     return joint.select("a", "b", F.round(F.col("bits") - F.col("ba") - F.col("bb"), 3).alias("loss"))
 
@@ -418,6 +422,52 @@ def x25(spark, d):
     return merge_losses(table(spark, d, "part").groupBy(F.col("p_brand").alias("context"), F.substring("p_name", 1, 1).alias("sym")).agg(F.count("*").alias("n")))
 
 
+def merge_contexts(counts: dict[str, dict[str, int]], groups: int) -> dict[str, int]:
+    """Group number of each context after merging, again and again, the two groups that lose the fewest bits; at most 256 contexts.
+
+    Ties go to the groups whose least contexts come first.  Groups are numbered by their least context.
+    """
+    import numpy as np
+
+    if len(counts) > 256:
+        raise ValueError("more contexts than bytes have values")
+    names = sorted(counts)
+    symbols = sorted({s for c in counts.values() for s in c})
+    place = {s: i for i, s in enumerate(symbols)}
+    table_ = np.zeros((len(names), len(symbols)))
+    for i, c in enumerate(names):
+        for s, n in counts[c].items():
+            table_[i, place[s]] = n
+    bits = lambda t: t.sum(-1) * np.log2(np.maximum(t.sum(-1), 1)) - (t * np.log2(np.maximum(t, 1))).sum(-1)
+    members = [[c] for c in names]
+    loss = np.full((len(names), len(names)), np.inf)
+    for i in range(len(names)):
+        loss[i, i + 1 :] = bits(table_[i] + table_[i + 1 :]) - bits(table_[i]) - bits(table_[i + 1 :])
+    while len(members) > max(groups, 1):
+        i, j = divmod(int(np.argmin(np.round(loss, 6))), len(members))
+        table_[i] += table_[j]
+        members[i] += members.pop(j)
+        table_ = np.delete(table_, j, 0)
+        loss = np.delete(np.delete(loss, j, 0), j, 1)
+        mine = bits(table_[i] + table_) - bits(table_[i]) - bits(table_)
+        loss[:i, i], loss[i, i + 1 :] = mine[:i], mine[i + 1 :]
+    return {c: g for g, m in enumerate(sorted(members, key=min)) for c in m}
+
+
+@query("x25b_context_groups")
+def x25b(spark, d):
+    """Contexts (the character class or byte before) of all bytes of the urls, merged down to 16, 8 and 4 groups.
+
+    Spark counts pairs; the merging works on at most 256 x 256 counts.
+    """
+    raw = table(spark, d, "pages").select(F.regexp_extract_all(F.hex(F.col("url").cast("binary")), F.lit("[0-9A-F]{2}"), F.lit(0)).alias("t"))
+    counts: dict[str, dict[str, int]] = {}
+    for r in pair_counts(raw, "t").collect():  # at most 65,536 rows
+        counts.setdefault(r.a, {})[r.b] = r.n
+    rows = [(k, c, g) for k in (16, 8, 4) for c, g in merge_contexts(counts, k).items()]
+    return spark.createDataFrame(rows, "groups int, context string, grp int")
+
+
 @query("x26_grammar_size_search")
 def x26(spark, d):
     part = table(spark, d, "part")

@@ -29,5 +29,5 @@ def load() -> None:
     """Import all modules that register queries."""
     from . import operators, sources, streaming  # noqa: F401
     from .operators import detect, dictionary, entropy, integers, match, metrics, select, structure  # noqa: F401
-    from .sources import framing, tables  # noqa: F401
+    from .sources import archives, framing, tables  # noqa: F401
     from .streaming import events  # noqa: F401

@@ -45,8 +45,17 @@ def read_framed(spark: SparkSession, path: str, framing: str = "lf") -> DataFram
     return numbered.join(first, "file").select("file", (F.col("place") - F.col("first")).alias("row_id"), "value")
 
 
-def read_members(spark: SparkSession, path: str, kind: str = "zip", wanted: list[str] | None = None) -> DataFrame:
-    """(archive, member, content) of zip or tar.gz archives; repeated, unsafe and, if ``wanted`` is given, other members are errors."""
+def read_members(spark: SparkSession, path: str, kind: str = "zip", wanted: list[str] | None = None, basename: str | None = None) -> DataFrame:
+    """(archive, member, content) of the archives at ``path``: see ``members``."""
+    return members(spark.read.format("binaryFile").load(path).select("path", "content"), kind, wanted, basename)
+
+
+def members(files: DataFrame, kind: str = "zip", wanted: list[str] | None = None, basename: str | None = None) -> DataFrame:
+    """(archive, member, content) of zip or tar.gz archives (path, content).
+
+    Repeated, unsafe and, if ``wanted`` is given, other members are errors.  With a
+    ``basename`` only the member so called comes out, of which there must be one.
+    """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,9 +70,13 @@ def read_members(spark: SparkSession, path: str, kind: str = "zip", wanted: list
                 bad = [n for n, _, link in found if link or n.startswith("/") or ".." in n.split("/")]
                 if bad or len(set(names)) < len(names) or (wanted is not None and set(names) != set(wanted)):
                     raise ValueError(f"{archive}: unexpected members {bad or names}")
-                yield pd.DataFrame({"archive": archive, "member": names, "content": [c for _, c, _ in found]})
+                if basename is not None:
+                    found = [f for f in found if f[0].rsplit("/", 1)[-1] == basename]
+                    if len(found) != 1:
+                        raise ValueError(f"{archive}: {len(found)} members are called {basename}")
+                yield pd.DataFrame({"archive": archive, "member": [n for n, _, _ in found], "content": [c for _, c, _ in found]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, member string, content binary")
+    return files.select("path", "content").mapInPandas(unpack, "archive string, member string, content binary")
 
 
 @query(

@@ -159,3 +159,61 @@ def test_too_long_pairs_dont_end_the_training(spark):
     df = spark.createDataFrame([(i, "abcdefghijkl") for i in range(9)] + [(9, "xy"), (10, "xy")], "id long, text string")
     _, rules, _ = byte_pairs(df, "id", "text", rounds=12, a_round=1, longest=2)
     assert [(a, b) for a, b, _ in rules] == [(ord(a), ord(b)) for a, b in ("ab", "cd", "ef", "gh", "ij", "kl", "xy")]
+
+
+def test_merged_contexts_lose_least():
+    from strandbase.operators.dictionary import merge_contexts
+
+    counts = {"a": {"x": 90, "y": 10}, "b": {"x": 9, "y": 1}, "c": {"z": 50}, "d": {"z": 7, "x": 1}, "e": {"w": 5}}
+    assert merge_contexts(counts, 3) == {"a": 0, "b": 0, "c": 1, "d": 1, "e": 2}
+    assert merge_contexts(counts, 9) == {c: i for i, c in enumerate("abcde")}
+    assert set(merge_contexts(counts, 1).values()) == {0}
+
+
+def test_half_front_ranks_against_a_list(spark, sf_dir):
+    from collections import Counter
+
+    from strandbase import registry
+
+    want = Counter()
+    for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").collect():
+        s = r.p_name
+        turned = sorted((s[i:] + s[:i], i) for i in range(len(s)))
+        last = [t[-1] for t, _ in turned]
+        order = sorted(set(last))
+        for c in last:
+            at = order.index(c)
+            want[at] += 1
+            order.remove(c)
+            order.insert(at // 2, c)
+    assert {r["rank"]: r.n for r in registry.QUERIES["z9_half_front_ranks"](spark, sf_dir).collect()} == dict(want)
+
+
+def test_sequences_cost_less_than_literals_and_their_classes_add_up(spark, sf_dir):
+    from strandbase import registry
+    from strandbase.operators.match import references, replay
+
+    n = literals = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        data = r.html.encode()
+        parts = references(data)
+        assert replay(parts) == data
+        at = 0
+        for lit, size, off in parts:  # every copy repeats what stands there
+            at += len(lit)
+            assert data[at : at + size] == bytes(data[at - off + k % off] for k in range(size)) if size else True
+            at += size
+        n, literals = n + len(parts), literals + sum(len(p[0]) for p in parts)
+        assert sum(len(p[0]) for p in parts) < 0.7 * len(data)
+    rows = registry.QUERIES["z5_sequence_classes"](spark, sf_dir).collect()
+    assert (sum(r.n for r in rows), sum(r.literal_bytes for r in rows)) == (n, literals)
+
+
+def test_exact_medians(spark):
+    from statistics import median
+
+    from strandbase.operators.metrics import exact_medians
+
+    groups = {"a": [1.0], "b": [1.0, 2.0], "c": [5.0] * 7 + [1.0, 9.0], "d": [float(k * 37 % 101) for k in range(100)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double")
+    assert {r.g: (r.median, r.low, r.high) for r in exact_medians(df, "g", "v").collect()} == {g: (median(v), min(v), max(v)) for g, v in groups.items()}
