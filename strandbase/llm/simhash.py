@@ -33,11 +33,14 @@ from pyspark.sql import functions as F
 
 from .components import components, spanning
 from .shared import materialise
+from .similar import similar_edges
 from .vectext import LOWER, ranges, slices, string_parts, word_spans
 
 PAIRS = 1 << 21
 #: Fingerprints on each side of a cell.
 HOT = 16_384
+#: Rows of ids and keys, about 40 bytes each, that are broadcast.
+MOST_BROADCAST = 200_000
 
 # Hamming code of 15 bits: position i carries the column i + 1; the syndrome is the columns' sum.
 _SYNDROME = np.zeros(1 << 15, np.int64)
@@ -214,10 +217,26 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, id_co
     return prints.join(of, "fp").select(F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = 4, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one, the one with the least id, of each group."""
+def keep_one(docs: DataFrame, threshold: int = 7, shingle: int = 2, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` less all but one, the one with the least id, of each group of near copies.
+
+    Fingerprints of pairs of words find the candidates; near copies are those whose sets of
+    shingles of ``words`` words have the Jaccard ``similarity`` or more, which is verified
+    for every two distinct texts of a candidate group.  Groups are components of near copies.
+    """
     prints = fingerprint_table(docs, shingle, id_column, text_column)
-    kept = _groups(prints, threshold).groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.tie").alias("__kept"))
+    linked = components(links(materialise(prints.select("fp").distinct(), "classes"), threshold)).withColumnRenamed("node", "fp")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
+    texts = prints.join(linked, "fp", "left").groupBy(F.coalesce("component", "fp").alias("grp"), "tie").agg(F.min(place).alias("least"))
+    texts = materialise(texts.select("grp", "tie", F.col("least.id").alias("id")), "texts")
+    several = texts.groupBy("grp").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a != b").select("grp")
+    wanted = materialise(texts.join(several, "grp", "left_semi").select("grp", F.col("tie").alias("__key"), F.col("id").alias("__id")), "candidates")
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
+    small = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    held = rows.join(small, (F.col("key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id"))).select("grp", "key", "text")
+    copies = components(similar_edges(held, words, similarity)).withColumnRenamed("node", "tie")
+    kept = texts.join(copies, "tie", "left").groupBy(F.coalesce("component", "tie").alias("grp"))
+    kept = kept.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("least")).select(F.col("least.id").alias("__id"), F.col("least.tie").alias("__kept"))
     rows = docs.withColumn("__tie", F.xxhash64(F.col(text_column)))
     out = rows.join(kept, (F.col("__tie") == F.col("__kept")) & F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
     if prints.count() != prints.select("id", "tie").distinct().count():  # the same row twice or more

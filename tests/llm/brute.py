@@ -36,15 +36,24 @@ def table(spark, texts=None, repeat=True):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def fingerprint(t):
+def fingerprint(t, k=4):
     w = space_words(t)
     if not w:
         return 0
-    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    found = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in found]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(t, k=5):
+    w = space_words(t)
+    return frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def similar(a, b, least=0.8):
+    return a == b or len(a & b) / len(a | b) >= least - 1e-9
+
+
 def components(n, linked):
     parent = list(range(n))
 
@@ -62,6 +71,14 @@ def components(n, linked):
     return [find(i) for i in range(n)]
 
 
+def near_copies(texts):
+    """The first of each text's group: links of candidates by pairs of words, then of those that are similar."""
+    prints = [fingerprint(t, 2) for t in texts]
+    candidates = components(len(texts), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 7)
+    sets = [shingles(t) for t in texts]
+    return components(len(texts), lambda i, j: candidates[i] == candidates[j] and similar(sets[i], sets[j]))
+
+
 def removed_lines(docs):
     """{(place of the document): [line numbers]} for (key, text) in order; equal keys are one document."""
     seen, out = [], {}

@@ -332,11 +332,43 @@ def test_op7(spark, docs, rows, empty):
     want = sorted((r.doc_id is None, r.doc_id or 0, f"{p:016x}", min(least[g])) for r, p, g in zip(rows, prints, groups, strict=True))
     got = sorted((r.doc_id is None, r.doc_id or 0, r.fingerprint, r.component_id) for r in near_duplicates(docs).collect())
     assert got == want
+    copies = defaultdict(list)
+    for g, r in zip(brute.near_copies([r.text for r in rows]), rows, strict=True):
+        copies[g] += [r.doc_id] * (r.doc_id is not None)
     kept = keep_one(docs).collect()
-    assert sorted(r.doc_id for r in kept) == sorted({min(v) for v in least.values()})
+    assert sorted(r.doc_id for r in kept) == sorted({min(v) for v in copies.values()})
     assert near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
 
 
+def test_op7_near_copies_are_verified(spark, monkeypatch):
+    """A group of many near copies over cells of three sets, edited documents, and documents that only share words."""
+    from strandbase.llm import similar
+    from strandbase.llm.simhash import keep_one
+
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(900)]
+    base = list(rng.choice(words, 120))
+    texts = []
+    for k in range(20):  # one word in 120 is another: a similarity of 0.92
+        t = list(base)
+        t[int(rng.integers(5, 115))] = f"edit{k}"
+        texts.append(" ".join(t))
+    for _ in range(30):
+        t = list(rng.choice(words, int(rng.integers(3, 200))))
+        texts += [" ".join(t), " ".join(t[1:] + ["end"]), " ".join(rng.permutation(t)), "\t".join(t).upper()]
+    want = sorted(set(brute.near_copies(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows, size in ((1024, 16 << 20), (3, 16 << 20), (1024, 2000)):
+        monkeypatch.setattr(similar, "CELL_ROWS", rows)
+        monkeypatch.setattr(similar, "CELL_BYTES", size)
+        assert sorted(r.doc_id for r in keep_one(df).collect()) == want
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in rng.integers(0, 60, 40)]
+    monkeypatch.setattr(similar, "TILE", 7)
+    got = set(zip(*(x.tolist() for x in similar.similar_pairs(sets[:20], sets[20:], 0.3)), strict=True))
+    one = [set(s.tolist()) for s in sets]
+    assert got == {(i, j) for i in range(20) for j in range(20) if one[i] == one[20 + j] or len(one[i] & one[20 + j]) / max(1, len(one[i] | one[20 + j])) >= 0.3}
+
+
 def test_op7_links_are_complete(spark):
     from strandbase.llm import simhash
 
