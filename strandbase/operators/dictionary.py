@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,11 +49,12 @@ def x3(spark, d):
     return coded.groupBy("doc_id").agg(F.count("id").alias("coded"), F.sum(F.when(F.col("id").isNull(), F.octet_length("word") + 1).otherwise(2)).cast("long").alias("n_bytes"))
 
 
-def pair_counts(df: DataFrame, tokens: str) -> DataFrame:
-    """(a, b, n): adjacent tokens of arrays."""
+def pair_counts(df: DataFrame, tokens: str, weight: str | None = None) -> DataFrame:
+    """(a, b, n): adjacent tokens of arrays, each array counted once or ``weight`` times."""
     ends = F.greatest(F.size(tokens) - 1, F.lit(0))
     pairs = F.explode(F.arrays_zip(F.slice(tokens, F.lit(1), ends).alias("a"), F.slice(tokens, F.lit(2), ends).alias("b"))).alias("p")
-    return df.select(pairs).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    times = (F.col(weight) if weight else F.lit(1)).cast("long").alias("times")
+    return df.select(pairs, times).groupBy("p.a", "p.b").agg(F.sum("times").alias("n"))
 
 
 @query("x4_pair_counts", "SELECT a, b, count(*) AS n FROM (SELECT substring(p_name, CAST(i AS INT), 1) AS a, substring(p_name, CAST(i + 1 AS INT), 1) AS b FROM (SELECT p_name, unnest(range(1, length(p_name))) AS i FROM part)) GROUP BY ALL")
@@ -60,105 +62,121 @@ def x4(spark, d):
     return pair_counts(table(spark, d, "part").select(F.split("p_name", "").alias("t")), "t")
 
 
-def merge_pairs(tokens: Column, pairs: dict[tuple[int, int], int]) -> Column:
-    """An array of token ids with every listed pair replaced, greedily from left to right, in one fold."""
-    table_ = F.create_map(*(x for (a, b), c in pairs.items() for x in (F.lit(a << 32 | b).cast("long"), F.lit(c).cast("long"))))
+#: Supplementary private-use code points stand for the symbols of rules, less those that the texts have themselves.
+PRIVATE = (range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
 
-    def step(acc: Column, token: Column) -> Column:
-        merged = F.when(acc["open"].isNotNull(), F.element_at(table_, F.shiftleft(acc["open"], 32).bitwiseOR(token)))
-        closed = F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.coalesce(merged, acc["open"]))))
-        return F.struct(closed.alias("out"), F.when(merged.isNull(), token).alias("open"))
 
-    start = F.struct(F.array().cast("array<long>").alias("out"), F.lit(None).cast("long").alias("open"))
-    finish = lambda acc: F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"])))
-    return F.aggregate(tokens, start, step, finish)
+def merge_pairs(coded: Column, pairs: dict[tuple[str, str], str]) -> Column:
+    """A string of one-character tokens with every listed pair replaced, greedily from left to right.
 
+    Replacing one pair after the other is the same as all at once where, as here, no
+    pair's first token is another's second.
+    """
+    for (a, b), c in pairs.items():
+        coded = F.replace(coded, F.lit(a + b), F.lit(c))
+    return coded
+
+
+def unused_symbols(df: DataFrame, text: str) -> Iterator[str]:
+    """Private-use characters that no text has, in order; at most 131,068 are looked at."""
+    own = F.filter(F.split(text, ""), lambda c: c >= F.lit(chr(PRIVATE[0].start)))
+    met = {r.c for r in df.select(F.explode(own).alias("c")).distinct().collect()}
+    return (chr(k) for block in PRIVATE for k in block if chr(k) not in met)
 
-def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int | None = 6, a_round: int = 16, longest: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]], list[dict]]:
-    """Batched byte-pair merges: (tokenised rows, rules (a, b, id), cost after each round).
 
-    A round counts pairs over all rows, takes the most frequent whose members don't
-    overlap, and rewrites the rows; the table of rows is written between rounds.
+def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int | None = 6, a_round: int = 16, longest: int | None = None, weight: str | None = None) -> tuple[DataFrame, list[tuple[str, str, str]], list[dict]]:
+    """Batched pair merges: (rows (row_id, coded, weight), rules (a, b, symbol), cost after each round).
+
+    A round counts pairs over all rows, ``weight`` times each, takes the most frequent whose
+    members don't overlap, and rewrites the rows; the table of rows is written between rounds.
     ``longest`` bounds the characters that a token may stand for; pairs beyond it
     aren't ranked, so the first pair of a round is always replaced and training ends
     only after ``rounds`` or, without them, when no pair is left that occurs twice.
+    Null texts stay null.  Every token is one character of ``coded``.
     """
     spark = df.sparkSession
-    width: dict[int, int] = {}
-    tokens = df.select(row_id, F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")).alias("tokens"))
-    rules: list[tuple[int, int, int]] = []
+    symbols = unused_symbols(df, text)
+    width: dict[str, int] = {}
+    rows = df.select(row_id, F.col(text).alias("coded"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("weight"))
+    rules: list[tuple[str, str, str]] = []
     ledger: list[dict] = []
     for number in itertools.count():
         path = scratch(spark, "pairs")
-        tokens.write.parquet(path)
-        tokens = spark.read.schema(tokens.schema).parquet(path)
-        used = tokens.agg(F.sum(F.size("tokens"))).first()[0] or 0
-        ledger.append({"round": number, "tokens": int(used), "rules": len(rules), "cost": 2 * int(used) + 4 * len(rules)})
+        rows.write.parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
+        used = int(rows.agg(F.sum(F.length("coded") * F.col("weight"))).first()[0] or 0)
+        ledger.append({"round": number, "tokens": used, "rules": len(rules), "cost": 2 * used + 4 * len(rules)})
         if number == rounds:
             break
-        counted = pair_counts(tokens, "tokens").where("n >= 2")
+        counted = pair_counts(rows.select(F.split("coded", "").alias("tokens"), "weight"), "tokens", "weight").where("n >= 2")
         if longest is not None:
-            wide = F.create_map(*(F.lit(x).cast("long") for kv in width.items() for x in kv)) if width else None
+            wide = F.create_map(*(F.lit(x) for kv in width.items() for x in kv)) if width else None
             size_of = lambda c, wide=wide: F.lit(1) if wide is None else F.coalesce(F.element_at(wide, F.col(c)), F.lit(1))
             counted = counted.where(size_of("a") + size_of("b") <= longest)
         best = counted.orderBy(F.desc("n"), "a", "b").limit(4 * a_round).collect()
-        chosen: dict[tuple[int, int], int] = {}
+        chosen: dict[tuple[str, str], str] = {}
         lefts, rights = set(), set()
         for r in best:
-            size = width.get(r.a, 1) + width.get(r.b, 1)
             if r.a not in rights and r.b not in lefts and len(chosen) < a_round:
-                chosen[r.a, r.b] = 0x110000 + len(rules)
-                width[0x110000 + len(rules)] = size
-                rules.append((r.a, r.b, 0x110000 + len(rules)))
+                symbol = next(symbols)
+                chosen[r.a, r.b] = symbol
+                width[symbol] = width.get(r.a, 1) + width.get(r.b, 1)
+                rules.append((r.a, r.b, symbol))
                 lefts.add(r.a)
                 rights.add(r.b)
         if not chosen:
             break
-        tokens = tokens.select(row_id, merge_pairs(F.col("tokens"), chosen).alias("tokens"))
-    return tokens, rules, ledger
+        rows = rows.select(row_id, merge_pairs(F.col("coded"), chosen).alias("coded"), "weight")
+    return rows, rules, ledger
+
 
+def rule_table(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(id, a, b) of rules, which are few."""
+    return spark.createDataFrame([(c, a, b) for a, b, c in rules], "id string, a string, b string")
 
-def expand(tokens: DataFrame, rules: DataFrame, row_id: str) -> DataFrame:
-    """(row_id, text): rules (id, a, b) are applied backwards, one level a round, by a join."""
-    spark = tokens.sparkSession
+
+def rule_texts(rules: DataFrame) -> DataFrame:
+    """(id, depth, s): what each rule (id, a, b) stands for, and the levels of rules below it; a join a level, to any depth."""
+    spark = rules.sparkSession
     path = scratch(spark, "expansion")
-    known = rules.select(F.col("id"), F.array("a", "b").alias("parts"))
-    for depth in itertools.count():  # expand the rules themselves first: few rows
-        open_ = known.select("id", F.posexplode("parts").alias("pos", "p"))
+    known = rules.select("id", F.array("a", "b").alias("parts"), F.lit(1).alias("depth"))
+    for level in itertools.count():
+        open_ = known.select("id", "depth", F.posexplode("parts").alias("pos", "p"))
         deeper = open_.join(rules.select(F.col("id").alias("p"), "a", "b"), "p", "left")
-        step = deeper.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("a").isNull(), F.array("p")).otherwise(F.array("a", "b")).alias("q")))).alias("s"), F.count("a").alias("more"))
-        step = step.select("id", F.flatten(F.transform("s", lambda x: x["q"])).alias("parts"), "more")
-        place = f"{path}/{depth}"
+        part = F.when(F.col("a").isNull(), F.array("p")).otherwise(F.array("a", "b")).alias("q")
+        step = deeper.groupBy("id", "depth").agg(F.array_sort(F.collect_list(F.struct("pos", part))).alias("s"), F.count("a").alias("more"))
+        step = step.select("id", F.flatten(F.transform("s", lambda x: x["q"])).alias("parts"), (F.col("depth") + F.when(F.col("more") > 0, 1).otherwise(0)).alias("depth"), "more")
+        place = f"{path}/{level}"
         step.write.parquet(place)
         step = spark.read.schema(step.schema).parquet(place)
-        known = step.select("id", "parts")
+        known = step.select("id", "parts", "depth")
         if not step.where("more > 0").limit(1).count():
-            break
-    texts = known.select("id", F.array_join(F.transform("parts", lambda c: F.char(c)), "").alias("s"))
-    each = tokens.select(row_id, F.posexplode("tokens").alias("pos", "id")).join(F.broadcast(texts), "id", "left")
-    symbol = F.coalesce("s", F.char("id"))
-    return each.groupBy(row_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", symbol.alias("c")))), lambda x: x["c"]), "").alias("text"))
+            return known.select("id", "depth", F.array_join("parts", "").alias("s"))
+
+
+def expand(coded: DataFrame, rules: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, text) of coded rows: rules (id, a, b) are expanded first, then each symbol is looked up."""
+    texts = rule_texts(rules).select(F.col("id").alias("__symbol"), "s")
+    each = coded.select(row_id, F.posexplode_outer(F.split("coded", "")).alias("pos", "__symbol")).join(F.broadcast(texts), "__symbol", "left")
+    found = each.groupBy(row_id).agg(F.count("pos").alias("n"), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("s", "__symbol").alias("c")))).alias("cs"))
+    return found.select(row_id, F.when(F.col("n") > 0, F.array_join(F.transform("cs", lambda x: x["c"]), "")).alias("text"))
 
 
 @query("x5_byte_pair_roundtrip", "SELECT p_partkey, p_name AS text FROM part")
 def x5(spark, d):
     tokens, rules, _ = byte_pairs(table(spark, d, "part"), "p_partkey", "p_name")
-    grammar = spark.createDataFrame([(c, a, b) for a, b, c in rules], "id long, a long, b long")
-    return expand(tokens, grammar, "p_partkey")
+    return expand(tokens, rule_table(spark, rules), "p_partkey")
 
 
 @query("x6_pair_at_a_time_roundtrip", "SELECT r_regionkey, r_name AS text FROM region")
 def x6(spark, d):
     """Exact pair replacement: one rule, the most frequent pair, a round, until no pair repeats."""
     tokens, rules, _ = byte_pairs(table(spark, d, "region"), "r_regionkey", "r_name", rounds=None, a_round=1)
-    grammar = spark.createDataFrame([(c, a, b) for a, b, c in rules], "id long, a long, b long")
-    return expand(tokens, grammar, "r_regionkey")
+    return expand(tokens, rule_table(spark, rules), "r_regionkey")
 
 
 def parsed(df: DataFrame, row_id: str, text: str, dictionary: list[str], shortest: bool) -> DataFrame:
     """(row_id, pieces): each text as dictionary entries and single characters, longest first or fewest in all."""
-    from collections.abc import Iterator
-
     import pandas as pd
 
     entries = frozenset(dictionary)
@@ -217,12 +235,31 @@ def x7(spark, d):
     return every.groupBy("root").agg(F.count("*").alias("n"))
 
 
+def _word_grammar(spark, d, rounds: int | None) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+    """Merges learned from all words of the documents: rounds rewrite distinct words, which stand for all their uses."""
+    counted = words(_docs(spark, d), "doc_id", "text").groupBy("word").agg(F.count("*").alias("n"))
+    coded, rules, _ = byte_pairs(counted, "word", "word", rounds=rounds, a_round=32, weight="n")
+    return coded, rules
+
+
+@query("x5b_word_merges_roundtrip", f"WITH {_WORDS} SELECT word, word AS text, count(*) AS n FROM w GROUP BY word")
+def x5b(spark, d):
+    """48 rounds of merges over the documents' words, and the words again from their codes."""
+    coded, rules = _word_grammar(spark, d, 48)
+    return expand(coded, rule_table(spark, rules), "word").join(coded.select("word", F.col("weight").alias("n")), "word").select("word", "text", "n")
+
+
+@query("x7b_learned_grammar_expansion")
+def x7b(spark, d):
+    """(text, depth, n_chars) of every rule of a grammar learned from the documents' words, to any depth."""
+    _, rules = _word_grammar(spark, d, 16)
+    return rule_texts(rule_table(spark, rules)).select(F.col("s").alias("text"), "depth", F.length("s").alias("n_chars"))
+
+
 def symbol_table(df: DataFrame, text: str, rounds: int = 5, size: int = 255, longest: int = 8) -> list[str]:
     """Up to ``size`` symbols of 1 to ``longest`` characters: each round parses with the table so far, counts symbols
     and neighbours over all rows, and keeps those that cover most."""
     from collections import Counter
-    from collections.abc import Iterator
-
     import pandas as pd
 
     symbols: list[str] = []
@@ -384,8 +421,7 @@ def x23(spark, d):
     size: dict[int, int] = {}
     for a, b, c in rules:
         size[c] = size.get(a, 1) + size.get(b, 1)
-    grammar = spark.createDataFrame([(c, a, b) for a, b, c in rules], "id long, a long, b long")
-    return expand(tokens, grammar, "s_suppkey").withColumn("bounded", F.lit(max(size.values(), default=0) <= 16))
+    return expand(tokens, rule_table(spark, rules), "s_suppkey").withColumn("bounded", F.lit(max(size.values(), default=0) <= 16))
 
 
 @query(

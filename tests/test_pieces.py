@@ -1,5 +1,6 @@
 """Small helpers against brute force."""
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -129,28 +130,114 @@ def test_uuid_v1_fields(spark, sf_dir):
     assert r.step == math.gcd(*(40 * (k - min(keys)) for k in keys)) and r.any_bits & r.all_bits == r.all_bits > 0
 
 
-def test_pairs_are_replaced_until_none_repeats(spark):
+def plain_pairs(texts, rounds, a_round, weights=None):
+    """Coded texts, rules and cost after each round, by counting and rewriting lists."""
     from collections import Counter
 
-    from strandbase.operators.dictionary import byte_pairs
-
-    texts = ["abab cab", "cababab", "xyz", ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    tokens, rules, _ = byte_pairs(df, "id", "text", rounds=None, a_round=1)
-    plain, made = [list(map(ord, t)) for t in texts], []
+    plain, made, costs = [list(t) for t in texts], [], []
+    weights = weights or [1] * len(texts)
+    met = {c for t in texts for c in t}
+    symbols = iter([chr(k) for k in range(0xF0000, 0xF1000) if chr(k) not in met])
     while True:
-        n = Counter(p for t in plain for p in zip(t, t[1:]))
-        pair = min((p for p in n if n[p] >= 2), key=lambda p: (-n[p], p), default=None)
-        if pair is None:
-            break
-        made.append((*pair, 0x110000 + len(made)))
+        used = sum(len(t) * w for t, w in zip(plain, weights))
+        costs.append((len(costs), used, len(made), 2 * used + 4 * len(made)))
+        n = Counter()
+        for t, w in zip(plain, weights):
+            for p in zip(t, t[1:]):
+                n[p] += w
+        chosen, lefts, rights = {}, set(), set()
+        for p in sorted((p for p in n if n[p] >= 2), key=lambda p: (-n[p], p))[: 4 * a_round]:
+            if p[0] not in rights and p[1] not in lefts and len(chosen) < a_round:
+                chosen[p] = next(symbols)
+                lefts.add(p[0])
+                rights.add(p[1])
+        if len(costs) - 1 == rounds or not chosen:
+            return plain, made, costs
+        made += [(*p, c) for p, c in chosen.items()]
         for t in plain:
             i = 0
             while i < len(t) - 1:
-                if (t[i], t[i + 1]) == pair:
-                    t[i : i + 2] = [made[-1][2]]
+                if (t[i], t[i + 1]) in chosen:
+                    t[i : i + 2] = [chosen[t[i], t[i + 1]]]
                 i += 1
-    assert rules == made and {r.id: r.tokens for r in tokens.collect() if texts[r.id]} == {i: t for i, t in enumerate(plain) if t}
+
+
+@pytest.mark.parametrize("rounds,a_round,weighted", [(None, 1, False), (None, 3, True), (4, 16, False)])
+def test_pairs_are_replaced_as_by_hand(spark, rounds, a_round, weighted):
+    from strandbase.operators.dictionary import byte_pairs, expand, rule_table, rule_texts
+
+    texts = ["abab cab", "cababab", "xyz", "", "aaaaaaa", "日本語の日本語", "\U000f0000 taken \U000f0000 taken 😀😀😀", "a.b*a.b*", "one one one"]
+    weights = [1 + i % 3 for i in range(len(texts))] if weighted else None
+    df = spark.createDataFrame([(i, t, (weights or [9] * 99)[i]) for i, t in enumerate(texts)] + [(99, None, 5)], "id long, text string, w long")
+    coded, rules, ledger = byte_pairs(df, "id", "text", rounds=rounds, a_round=a_round, weight="w" if weighted else None)
+    plain, made, costs = plain_pairs(texts, rounds, a_round, weights)
+    assert rules == made and [(r["round"], r["tokens"], r["rules"], r["cost"]) for r in ledger] == costs
+    assert {r.id: r.coded for r in coded.collect()} == {99: None, **{i: "".join(t) for i, t in enumerate(plain)}}
+    table = rule_table(spark, rules)
+    assert {r.id: r.text for r in expand(coded, table, "id").collect()} == {99: None, **dict(enumerate(texts))}
+    spelled, depth = {}, {}
+    for a, b, c in made:
+        spelled[c] = spelled.get(a, a) + spelled.get(b, b)
+        depth[c] = 1 + max(depth.get(a, 0), depth.get(b, 0))
+    assert {r.id: (r.s, r.depth) for r in rule_texts(table).collect()} == {c: (spelled[c], depth[c]) for c in spelled}
+
+
+@pytest.mark.parametrize("name,rounds,a_round", [("x8_stop_at_best_cost", 4, 16), ("x26_grammar_size_search", 3, 32)])
+def test_costs_of_rounds(spark, sf_dir, name, rounds, a_round):
+    from strandbase import registry
+
+    names = [r.p_name for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").collect()]
+    _, _, costs = plain_pairs(names, rounds, a_round)
+    found = registry.QUERIES[name](spark, sf_dir).collect()
+    assert sorted((r.rules, r.tokens, r.cost) for r in found) == sorted((n, used, cost) for _, used, n, cost in costs)
+
+
+def test_half_front_ranks(spark, sf_dir):
+    from collections import Counter
+
+    from strandbase import registry
+
+    want = Counter()
+    for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").collect():
+        t = r.p_name
+        turned = sorted((t[i:] + t[:i], i) for i in range(len(t)))
+        order = sorted(set(t))
+        for c in (x[-1] for x, _ in turned):
+            at = order.index(c)
+            want[at] += 1
+            order.insert(at // 2, order.pop(at))
+    assert {r["rank"]: r.n for r in registry.QUERIES["z9_half_front_ranks"](spark, sf_dir).collect()} == want
+
+
+def plain_references(data, least=4, chain=16, most=255):
+    """Greedy: at each place the longest copy from the nearest of the last ``chain`` places with the same four bytes."""
+    out, i, start = [], 0, 0
+    while i < len(data):
+        found = [j for j in range(i) if len(data) >= i + least and data[j : j + least] == data[i : i + least]][-chain:]
+        size, back = max(((next((k for k in range(min(most, len(data) - i)) if data[j + k] != data[i + k]), min(most, len(data) - i)), j) for j in found), default=(0, 0))
+        if not size:
+            i += 1
+            continue
+        out.append((data[start:i], size, i - back))
+        i += size
+        start = i
+    return [*out, (data[start:], 0, 0)]
+
+
+def test_sequences_are_real_copies(spark, sf_dir):
+    """Without laziness the parts are those of the plain search; with it every copy is one and no longer text is left as literals twice over."""
+    pages = [r.html.encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(6).collect()]
+    for data in (*pages, b"", b"a", b"abcabcabcabc", bytes(600)):
+        assert references(data, False) == plain_references(data)
+        parts, at = references(data), 0
+        assert replay(parts) == data
+        for lit, size, off in parts:
+            at += len(lit)
+            assert all(data[at + k] == data[at + k - off] for k in range(size)) and (size >= 4 or not size) and off <= at
+            at += size
+        literals = [sum(len(x) for x, _, _ in p) for p in (parts, plain_references(data))]
+        assert literals[0] <= 2 * literals[1]
+    assert references(b"abcabcabcabc") == [(b"abc", 9, 3), (b"", 0, 0)]
 
 
 def test_too_long_pairs_dont_end_the_training(spark):
@@ -158,7 +245,7 @@ def test_too_long_pairs_dont_end_the_training(spark):
 
     df = spark.createDataFrame([(i, "abcdefghijkl") for i in range(9)] + [(9, "xy"), (10, "xy")], "id long, text string")
     _, rules, _ = byte_pairs(df, "id", "text", rounds=12, a_round=1, longest=2)
-    assert [(a, b) for a, b, _ in rules] == [(ord(a), ord(b)) for a, b in ("ab", "cd", "ef", "gh", "ij", "kl", "xy")]
+    assert [a + b for a, b, _ in rules] == ["ab", "cd", "ef", "gh", "ij", "kl", "xy"]
 
 
 def test_merged_contexts_lose_least():
