@@ -225,7 +225,7 @@ def plain_references(data, least=4, chain=16, most=255):
 
 
 def test_sequences_are_real_copies(spark, sf_dir):
-    """Without laziness the parts are those of the plain search; with it every copy is one and no longer text is left as literals twice over."""
+    """Without laziness the parts are those of the plain search; with it, all copies are real and at most twice as much is left as literals."""
     pages = [r.html.encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(6).collect()]
     for data in (*pages, b"", b"a", b"abcabcabcabc", bytes(600)):
         assert references(data, False) == plain_references(data)
