@@ -1,11 +1,19 @@
 """Exact similarity inside candidate groups: which texts of a group are near copies.
 
 A group (of SimHash links, say) is only a set of candidates.  Its distinct texts
-become sorted sets of word-shingle hashes, and every two of a group are compared
-exactly: sets of one group are dealt over a triangular grid of cells, each with a
-bounded number of sets and bytes on a side, so the largest group is shared among
-tasks.  A cell counts shared shingles in tiles of bounded size and gives spanning
-edges of the pairs that pass, never the pairs.
+become sorted sets of word-shingle hashes, which are compared exactly.  A group that
+fits a cell of bounded sets and bytes is compared there, each set with each.  A larger
+group is dealt over cells, so it is shared among tasks, in two steps:
+
+1. Every set is compared with a few pivots of its group.  The sets similar to the pivot
+   that has most of them are *settled*: they are in one component, whatever else they
+   are similar to.
+2. Only the sets that are not settled are compared with all sets of the group.
+
+So a group of near copies costs a few comparisons a text, not its square; no
+component is lost, since a pair of settled sets could only join what is joined.
+Cells count shared shingles in tiles of bounded size and give spanning edges of the
+pairs that pass, never the pairs.
 
 Sets without shingles are similar to each other and to nothing else.
 """
@@ -28,6 +36,10 @@ CELL_ROWS = 1024
 CELL_BYTES = 16 << 20
 #: Shingles of one tile of counts.
 TILE = 4096
+#: Sets of a large group that all others are compared with first.
+PIVOTS = 8
+#: Large groups (a row of a few numbers each) that are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -78,14 +90,43 @@ def similar_edges(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     made = texts.select("grp", "key", "text").mapInArrow(to_sets, "grp long, key long, shingles binary")
     sets = materialise(made.groupBy("grp", "key").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-    sizes = sets.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum(F.octet_length("shingles")) / CELL_BYTES)).cast("int").alias("k"))
-    large = materialise(sizes.where("k > 1"), "large-groups")
+    large = materialise(_cells_of(sets).where("k > 1"), "large-groups")
     number = large.count()
-    k = F.coalesce("k", F.lit(1))
-    split = sets.join(F.broadcast(large) if number <= 100_000 else large, "grp", "left").withColumn("k", k)
-    split = split.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("k")).cast("int"))
-    cells = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select("grp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") <= F.col("other")).alias("first"), "key", "shingles")
+    small = lambda df: F.broadcast(df) if number <= MOST_BROADCAST else df
+    if not number:
+        return compared(sets.select("grp", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(True).alias("first"), "key", "shingles"), similarity).select("u", "v").distinct()
+    whole = sets.join(small(large), "grp", "left_anti").select("grp", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(True).alias("first"), "key", "shingles")
+    dealt = sets.join(small(large), "grp").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("k")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    least = dealt.groupBy("grp").agg(F.array_distinct(F.array(*(F.min_by("key", F.xxhash64("key", F.lit(i))) for i in range(PIVOTS)))).alias("keys"))
+    pivots = dealt.join(least.select("grp", F.explode("keys").alias("key")), ["grp", "key"])
+    pivots = pivots.select("grp", every("k").alias("lo"), F.lit(-1).alias("hi"), F.lit(False).alias("first"), "key", "shingles")
+    stars = compared(dealt.select("grp", F.col("mine").alias("lo"), F.lit(-1).alias("hi"), F.lit(True).alias("first"), "key", "shingles").unionByName(pivots), similarity, spanned=False)
+    stars = materialise(stars, "pivot-links")
+    best = stars.groupBy("grp", "v").count().groupBy("grp").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
+    best = materialise(best, "best-pivots")
+    settled = stars.join(small(best), ["grp", "v"]).select("grp", F.col("u").alias("key")).unionByName(best.select("grp", F.col("v").alias("key")))
+    rest = materialise(dealt.join(settled, ["grp", "key"], "left_anti"), "unsettled-sets")
+    rows = materialise(_cells_of(rest).withColumnRenamed("k", "r"), "unsettled-groups")
+    mine = F.pmod(F.xxhash64("key", F.lit(1)), F.col("r")).cast("int")
+    ours = rest.join(small(rows), "grp").select("grp", (-1 - mine).alias("lo"), every("k").alias("hi"), F.lit(True).alias("first"), "key", "shingles")
+    others = dealt.join(small(rows), "grp").select("grp", every("r").alias("row"), "mine", "key", "shingles")
+    others = others.select("grp", (-1 - F.col("row")).alias("lo"), F.col("mine").alias("hi"), F.lit(False).alias("first"), "key", "shingles")
+    found = compared(whole.unionByName(ours).unionByName(others), similarity)
+    return found.select("u", "v").unionByName(stars.select("u", "v")).distinct()
+
+
+def _cells_of(sets: DataFrame) -> DataFrame:
+    """(grp, k): into how many cells of bounded size each group goes."""
+    return sets.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum(F.octet_length("shingles")) / CELL_BYTES)).cast("int").alias("k"))
+
+
+def compared(cells: DataFrame, similarity: float, spanned: bool = True) -> DataFrame:
+    """(grp, u, v) of the similar sets of each cell (grp, lo, hi): the rows that are ``first`` against the others, or each with each where lo = hi.
+
+    Spanning edges only, or all pairs (with ``u`` a first) if not ``spanned``.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: tuple | None = None
@@ -98,8 +139,10 @@ def similar_edges(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
             if len(keys[0]) and len(keys[1]) and (cell[1] != cell[2] or len(keys[0]) > 1):
                 i, j = similar_pairs(*sets_, similarity)
                 a, b = keys[0][i], keys[1][j]
-                u, v = spanning(a[a != b], b[a != b])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                u, v = a[a != b], b[a != b]
+                if spanned:
+                    u, v = spanning(u, v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), cell[0], np.int64)), pa.array(u), pa.array(v)], ["grp", "u", "v"])
 
         for batch in batches:
             grp, lo, hi, first, key = (batch.column(c).to_pylist() for c in ("grp", "lo", "hi", "first", "key"))
@@ -115,6 +158,6 @@ def similar_edges(texts: DataFrame, words: int = 5, similarity: float = 0.8) ->
         if cell is not None:
             yield from flush()
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = cells.repartition(parts, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
-    return dealt.mapInArrow(compare, "u long, v long").distinct()
+    return dealt.mapInArrow(compare, "grp long, u long, v long")

@@ -343,6 +343,7 @@ def test_op7(spark, docs, rows, empty):
 def test_op7_near_copies_are_verified(spark, monkeypatch):
     """A group of many near copies over cells of three sets, edited documents, and documents that only share words."""
     from strandbase.llm import similar
+    from strandbase.llm.components import components
     from strandbase.llm.simhash import keep_one
 
     rng = np.random.default_rng(8)
@@ -362,6 +363,17 @@ def test_op7_near_copies_are_verified(spark, monkeypatch):
         monkeypatch.setattr(similar, "CELL_ROWS", rows)
         monkeypatch.setattr(similar, "CELL_BYTES", size)
         assert sorted(r.doc_id for r in keep_one(df).collect()) == want
+    # groups as given: two families with a chain between them, sets without shingles, a lone set, a small group
+    near = [(1, k, " ".join(["x"] * (k % 2) + base[: 100 + 2 * k])) for k in range(12)] + [(1, 50 + k, texts[k]) for k in range(20)]
+    near += [(1, 90 + k, "") for k in range(3)] + [(1, 99, "alone here")] + [(2, 200 + k, texts[k]) for k in range(2)]
+    table = spark.createDataFrame(near + near[:5], "grp long, key long, text string")
+    want = brute.components(len(near), lambda i, j: near[i][0] == near[j][0] and brute.similar(brute.shingles(near[i][2]), brute.shingles(near[j][2])))
+    want = {near[i][1]: near[g][1] for i, g in enumerate(want) if want.count(g) > 1}
+    for rows, pivots in ((1024, 8), (3, 8), (3, 1), (1, 2)):
+        monkeypatch.setattr(similar, "CELL_ROWS", rows)
+        monkeypatch.setattr(similar, "CELL_BYTES", 16 << 20)
+        monkeypatch.setattr(similar, "PIVOTS", pivots)
+        assert {r.node: r.component for r in components(similar.similar_edges(table)).collect()} == want
     sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in rng.integers(0, 60, 40)]
     monkeypatch.setattr(similar, "TILE", 7)
     got = set(zip(*(x.tolist() for x in similar.similar_pairs(sets[:20], sets[20:], 0.3)), strict=True))
