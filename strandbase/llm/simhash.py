@@ -229,8 +229,9 @@ def keep_one(docs: DataFrame, threshold: int = 7, shingle: int = 2, words: int =
     place = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
     texts = prints.join(linked, "fp", "left").groupBy(F.coalesce("component", "fp").alias("grp"), "tie").agg(F.min(place).alias("least"))
     texts = materialise(texts.select("grp", "tie", F.col("least.id").alias("id")), "texts")
-    several = texts.groupBy("grp").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a != b").select("grp")
-    wanted = materialise(texts.join(several, "grp", "left_semi").select("grp", F.col("tie").alias("__key"), F.col("id").alias("__id")), "candidates")
+    several = materialise(texts.groupBy("grp").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a != b").select("grp"), "several")
+    few = F.broadcast(several) if several.count() <= MOST_BROADCAST else several
+    wanted = materialise(texts.join(few, "grp", "left_semi").select("grp", F.col("tie").alias("__key"), F.col("id").alias("__id")), "candidates")
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
     small = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
     held = rows.join(small, (F.col("key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id"))).select("grp", "key", "text")
