@@ -130,11 +130,14 @@ class Shards:
 class CountArrays:
     """Keys of about 33 bits with ``width`` small non-negative counts each, most of which are alike.
 
-    A byte names one of the 255 most frequent rows of counts; the rest stand in a
-    list of exceptions.
+    A byte names one of the most frequent rows of counts; the rest stand in lists of
+    exceptions, in the order of the keys, one list for each width that holds a row.
     """
 
-    KINDS = [np.dtype(k) for k in (np.int64, np.uint32, np.uint32, np.uint8, np.int64, np.uint32, np.int64)]
+    #: A row that has no name of its own is in the list of its narrowest width: codes 253, 254 and 255.
+    WIDTHS = [np.dtype(k) for k in (np.uint8, np.uint16, np.int64)]
+    NAMED = 256 - len(WIDTHS)
+    KINDS = [*(np.dtype(k) for k in (np.int64, np.uint32, np.uint32, np.uint8, np.int64)), *WIDTHS]
 
     def __init__(self, path: str, name: str, bits: int, width: int):
         self.path, self.name, self.bits, self.width = path, name, bits, width
@@ -155,8 +158,9 @@ class CountArrays:
         for k in range(1, self.width):
             joined = joined << U64(16) | rows[:, k].astype(U64)
         common, number = np.unique(joined[small], return_counts=True)
-        common = common[np.argsort(-number, kind="stable")[:255]]
-        code = np.full(len(keys), 255, np.uint8)
+        common = common[np.argsort(-number, kind="stable")[: self.NAMED]]
+        most = rows.max(1, initial=0)
+        code = (self.NAMED + (most >= 1 << 8) + (most >= 1 << 16)).astype(np.uint8)
         if len(common):
             order = np.argsort(common)
             at = np.searchsorted(common[order], joined)
@@ -166,14 +170,14 @@ class CountArrays:
         table = np.zeros((len(common), self.width), np.int64)
         for k in range(self.width):
             table[:, k] = common >> U64(16 * (self.width - 1 - k)) & U64(0xFFFF) if self.width > 1 else common
-        other = np.flatnonzero(code == 255)
-        put_file(file_of(self.path, self.name, shard), _sections([np.array([bucket_bits], np.int64), edges, low, code, table, other.astype(np.uint32), rows[other]]))
+        rest = [rows[code == self.NAMED + k].astype(kind) for k, kind in enumerate(self.WIDTHS)]
+        put_file(file_of(self.path, self.name, shard), _sections([np.array([bucket_bits], np.int64), edges, low, code, table, *rest]))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether there, rows of counts) for sorted keys; absent keys have zeros."""
         there, out = np.zeros(len(keys), bool), np.zeros((len(keys), self.width), np.int64)
         for shard, a, b in cuts(keys, self.bits):
-            head, edges, low, code, table, other, rest = _read_sections(mapped(file_of(self.path, self.name, shard)), self.KINDS)
+            head, edges, low, code, table, *rest = _read_sections(mapped(file_of(self.path, self.name, shard)), self.KINDS)
             if not len(low):
                 continue
             bucket, want = self._split(keys[a:b], int(head[0]))
@@ -191,9 +195,14 @@ class CountArrays:
             hit = (lo < end) & (low[at] == want)
             at = at[hit]
             found = np.zeros((len(at), self.width), np.int64)
-            named = code[at] < 255
-            found[named] = table.reshape(-1, self.width)[code[at[named]]]
-            found[~named] = rest.reshape(-1, self.width)[np.searchsorted(other, at[~named])]
+            its = code[at]
+            named = its < self.NAMED
+            found[named] = table.reshape(-1, self.width)[its[named]]
+            for k, rows in enumerate(rest):
+                mine = its == self.NAMED + k
+                if mine.any():
+                    place = np.searchsorted(np.flatnonzero(code == self.NAMED + k), at[mine])
+                    found[mine] = rows.reshape(-1, self.width)[place]
             there[a:b], out[a:b][hit] = hit, found
         return there, out
 
