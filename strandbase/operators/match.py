@@ -3,46 +3,77 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..functions.columns import table
 from ..registry import query
 from .integers import runs
 
 SEQUENCE = "array<struct<lit: binary, len: int, off: int>>"
+#: What a task holds of its results at a time, and what a part costs as Python objects.
+BATCH_BYTES = 1 << 21
+PART_BYTES = 400
+
+
+def earlier(data: bytes, least: int) -> memoryview:
+    """For each place the nearest one before it with the same ``least`` bytes, or -1; four bytes a place."""
+    n = max(0, len(data) - least + 1)
+    byte = np.frombuffer(data, np.uint8)
+    code = np.zeros(n, np.uint64)
+    for k in range(least):
+        if k and not k % 4:  # room for four bytes more
+            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
+        code = code << np.uint64(8) | byte[k : k + n]
+    order = np.argsort(code, kind="stable").astype(np.int32)
+    same = code[order[1:]] == code[order[:-1]]
+    out = np.full(n, -1, np.int32)
+    out[order[1:][same]] = order[:-1][same]
+    return memoryview(out)
 
 
 def references(data: bytes, lazy: bool = True, least: int = 4, chain: int = 16) -> list[tuple[bytes, int, int]]:
     """(literal run, copy length, distance) triples; ``lazy`` puts a match off if the next byte begins a longer one."""
-    seen: dict[bytes, list[int]] = {}
+    before = earlier(data, least)
 
     def longest(i: int) -> tuple[int, int]:
-        best = (0, 0)
-        for j in reversed(seen.get(data[i : i + least], [])[-chain:]):
-            k = least
-            while i + k < len(data) and k < 255 and data[j + k] == data[i + k]:
-                k += 1
-            best = max(best, (k, -(i - j)))
-        return best[0], -best[1]
+        """The longest copy from the last ``chain`` places with the same bytes, of equally long ones the nearest."""
+        most, best, back, j = min(255, len(data) - i), 0, 0, before[i]
+        for _ in range(chain):
+            if j < 0 or best >= most:
+                break
+            if not best or data[j : j + best + 1] == data[i : i + best + 1]:
+                k = best or least
+                while k + 16 <= most and data[j + k : j + k + 16] == data[i + k : i + k + 16]:
+                    k += 16
+                while k < most and data[j + k] == data[i + k]:
+                    k += 1
+                best, back = k, i - j
+            j = before[j]
+        return best, back
 
     out, i, start = [], 0, 0
-    while i + least <= len(data):
-        size, off = longest(i)
-        seen.setdefault(data[i : i + least], []).append(i)
-        if size and lazy and i + 1 + least <= len(data) and longest(i + 1)[0] > size:
-            size = 0
+    ahead = None
+    while i < len(before):
+        size, off = ahead or longest(i)
+        ahead = None
+        if size and lazy and i + 1 < len(before):
+            ahead = longest(i + 1)
+            if ahead[0] > size:
+                size = 0
         if not size:
             i += 1
             continue
         out.append((data[start:i], size, off))
-        for k in range(i + 1, min(i + size, len(data) - least + 1)):
-            seen.setdefault(data[k : k + least], []).append(k)
         i += size
-        start = i
+        start, ahead = i, None
     out.append((data[start:], 0, 0))
     return out
 
@@ -55,37 +86,49 @@ def replay(parts: list) -> bytes:
         if size:
             if not 0 < off <= len(out):
                 raise ValueError("a copy from before the beginning")
-            for _ in range(size):
-                out.append(out[-off])
+            piece = out[len(out) - off : len(out) - off + size]
+            out += (piece * -(-size // len(piece)))[:size]
     return bytes(out)
 
 
-def matched(df: DataFrame, row_id: str, value: str, lazy: bool = True) -> DataFrame:
-    """(row_id, parts): each value as literals and copies; a value is a block of its own."""
+def _rows_out(batches: Iterator[pa.RecordBatch], change: Callable, column: str, kind: pa.DataType, cost: Callable) -> Iterator[pa.RecordBatch]:
+    """The first column of each row changed, the others kept; a batch goes out as soon as its values cost BATCH_BYTES."""
+    for batch in batches:
+        held, room, start = [], 0, 0
+        for at, v in enumerate(batch.column(0), 1):
+            held.append(None if not v.is_valid else change(v.as_py()))
+            room += 0 if held[-1] is None else cost(held[-1])
+            if room >= BATCH_BYTES or at == batch.num_rows:
+                kept = [c.slice(start, at - start) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(held, kind), *kept], [column, *batch.schema.names[1:]])
+                held, room, start = [], 0, at
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({row_id: batch[row_id], "parts": [[{"lit": a, "len": n, "off": o} for a, n, o in references(bytes(v), lazy)] for v in batch[value]]})
 
-    kind = df.schema[row_id].dataType.simpleString()
-    return df.select(row_id, F.col(value).cast("binary").alias(value)).mapInPandas(run, f"{row_id} {kind}, parts {SEQUENCE}")
+def _changed(df: DataFrame, value: str, change: Callable, column: str, kind: str, cost: Callable) -> DataFrame:
+    """``df`` with ``column`` made from ``value``, which goes."""
+    kept = [c for c in df.columns if c != value]
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+    schema = StructType([StructField(column, _parse_datatype_string(kind)), *(df.schema[c] for c in kept)])
+    return df.select(value, *kept).mapInArrow(lambda batches: _rows_out(batches, change, column, arrow, cost), schema).select(*kept, column)
 
 
-def unmatched(df: DataFrame, row_id: str) -> DataFrame:
-    """(row_id, value) from ``matched``."""
+def matched(df: DataFrame, row_id: str, value: str, lazy: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, *keep, parts): each value as literals and copies; a value is a block of its own, null stays null."""
+    cut = lambda v: [{"lit": a, "len": n, "off": o} for a, n, o in references(v, lazy)]
+    rows = df.select(row_id, *keep, F.col(value).cast("binary").alias("__value"))
+    return _changed(rows, "__value", cut, "parts", SEQUENCE, lambda parts: PART_BYTES * len(parts))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({row_id: batch[row_id], "value": [replay([(p["lit"], p["len"], p["off"]) for p in parts]) for parts in batch["parts"]]})
 
-    kind = df.schema[row_id].dataType.simpleString()
-    return df.mapInPandas(run, f"{row_id} {kind}, value binary")
+def unmatched(df: DataFrame, row_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, *keep, value) from ``matched``."""
+    whole = lambda parts: replay([(p["lit"], p["len"], p["off"]) for p in parts])
+    return _changed(df.select(row_id, *keep, "parts"), "parts", whole, "value", "binary", len)
 
 
 @query("z1_lazy_matches_roundtrip", "SELECT conv_id, turn, sha256(text) AS digest FROM conversations")
 def z1(spark, d):
-    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
-    return unmatched(matched(rows, "k", "text"), "k").select(F.floor(F.col("k") / 1000).alias("conv_id"), (F.col("k") % 1000).alias("turn"), F.sha2("value", 256).alias("digest"))
+    parts = matched(table(spark, d, "conversations"), "conv_id", "text", keep=("turn",))
+    return unmatched(parts, "conv_id", keep=("turn",)).select("conv_id", "turn", F.sha2("value", 256).alias("digest"))
 
 
 @query("z3_learned_symbol_costs", "WITH c AS (SELECT substring(url, CAST(i AS INT), 1) AS sym FROM (SELECT url, unnest(range(1, length(url) + 1)) AS i FROM pages)), n AS (SELECT sym, count(*) AS n FROM c GROUP BY sym) SELECT sym, round(-log2(n / (SELECT sum(n) FROM n)), 5) AS bits FROM n")
@@ -105,9 +148,8 @@ def z5(spark, d):
 
 @query("z6_match_verification", "SELECT count(*) AS n, count(*) AS n_equal FROM pages")
 def z6(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "html")
-    back = unmatched(matched(pages, "page_id", "html"), "page_id")
-    return pages.join(back, "page_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("html").cast("binary") == F.col("value"), 1)).alias("n_equal"))
+    back = unmatched(matched(table(spark, d, "pages"), "page_id", "html", keep=("html",)), "page_id", keep=("html",))
+    return back.agg(F.count("*").alias("n"), F.count(F.when(F.col("html").cast("binary").eqNullSafe(F.col("value")), 1)).alias("n_equal"))
 
 
 def rotations_sorted(df: DataFrame, row_id: str, text: str) -> DataFrame:

@@ -304,3 +304,32 @@ def test_exact_medians(spark):
     groups = {"a": [1.0], "b": [1.0, 2.0], "c": [5.0] * 7 + [1.0, 9.0], "d": [float(k * 37 % 101) for k in range(100)]}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double")
     assert {r.g: (r.median, r.low, r.high) for r in exact_medians(df, "g", "v").collect()} == {g: (median(v), min(v), max(v)) for g, v in groups.items()}
+
+
+def test_matches_leave_a_task_in_small_batches(monkeypatch):
+    """What a task holds doesn't grow with the rows of an incoming batch, and all rows and kept columns come out in order."""
+    import pyarrow as pa
+
+    from strandbase.operators import match
+
+    monkeypatch.setattr(match, "BATCH_BYTES", 1000)
+    values = [None if k % 7 == 3 else b"abcd" * (k % 50) for k in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(range(500))], ["v", "k"])
+    out = list(match._rows_out(iter([batch]), lambda v: v + b"!", "w", pa.binary(), len))
+    assert [(r["k"], r["w"]) for b in out for r in b.to_pylist()] == [(k, None if v is None else v + b"!") for k, v in enumerate(values)]
+    assert max(sum(len(r["w"] or b"") for r in b.to_pylist()) for b in out) <= 1000 + 201
+
+
+def test_match_verification_counts_rows_with_repeated_ids_and_null_texts(spark, tmp_path):
+    from strandbase import registry
+
+    spark.createDataFrame([(1, "abcabcabc"), (1, "abcabcabc"), (1, "xyz"), (2, None), (3, "")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert tuple(registry.QUERIES["z6_match_verification"](spark, str(tmp_path)).first()) == (5, 5)
+    assert sum(r.literal_bytes for r in registry.QUERIES["z5_sequence_classes"](spark, str(tmp_path)).collect()) == 9
+
+
+def test_turns_beyond_a_thousand_keep_their_conversation(spark, tmp_path):
+    from strandbase import registry
+
+    spark.createDataFrame([(1, 1500, "a"), (2, 500, "b"), (None, 1, "c")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {(r.conv_id, r.turn) for r in registry.QUERIES["z1_lazy_matches_roundtrip"](spark, str(tmp_path)).collect()} == {(1, 1500), (2, 500), (None, 1)}
