@@ -333,3 +333,13 @@ def test_turns_beyond_a_thousand_keep_their_conversation(spark, tmp_path):
 
     spark.createDataFrame([(1, 1500, "a"), (2, 500, "b"), (None, 1, "c")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert {(r.conv_id, r.turn) for r in registry.QUERIES["z1_lazy_matches_roundtrip"](spark, str(tmp_path)).collect()} == {(1, 1500), (2, 500), (None, 1)}
+
+
+def test_characters_of_positions_are_hashed_before_anything_is_sorted(spark):
+    from strandbase.operators.detect import positional_mask
+
+    df = spark.createDataFrame([("ab1",), ("ab2",), ("xb",), (None,), ("ab1",)], "v string")
+    found = positional_mask(df, "v")
+    assert sorted(map(tuple, found.collect())) == [(1, 2, "a"), (2, 1, "b"), (3, 2, "1")]
+    plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert "HashAggregate" in [line for line in plan if "Aggregate" in line][-1]  # the one next to the rows
