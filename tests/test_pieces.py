@@ -343,3 +343,14 @@ def test_characters_of_positions_are_hashed_before_anything_is_sorted(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 2, "a"), (2, 1, "b"), (3, 2, "1")]
     plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
     assert "HashAggregate" in [line for line in plan if "Aggregate" in line][-1]  # the one next to the rows
+
+
+def test_phrases_are_compiled_and_take_any_blanks(spark, tmp_path):
+    from strandbase import registry
+
+    registry.load()
+    texts = [" a  b\n\nc d ", "a b c", "\na b\tc c", "x y", "", None, " \n "]
+    spark.createDataFrame([(i, t) for i in range(9) for t in texts], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["x14_phrase_candidates"](spark, str(tmp_path))
+    assert {r.phrase: r.n for r in found.collect()} == {"a b c": 18}
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
