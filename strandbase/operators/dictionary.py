@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.columns import table, words
 from ..plans.ordered import predecessor, ranked
@@ -62,6 +63,13 @@ def x4(spark, d):
     return pair_counts(table(spark, d, "part").select(F.split("p_name", "").alias("t")), "t")
 
 
+def symbol_pairs(df: DataFrame, coded: str, weight: str) -> DataFrame:
+    """(a, b, n): adjacent characters of strings, each string counted ``weight`` times; a pair is one short key, not a row of arrays."""
+    at = df.where(F.length(coded) >= 2).select(coded, weight, F.explode(F.sequence(F.lit(1), F.length(coded) - 1)).alias("i"))
+    n = at.groupBy(F.substring(F.col(coded), F.col("i"), F.lit(2)).alias("ab")).agg(F.sum(weight).alias("n"))
+    return n.select(F.substring("ab", 1, 1).alias("a"), F.substring("ab", 2, 1).alias("b"), "n")
+
+
 #: Supplementary private-use code points stand for the symbols of rules, less those that the texts have themselves.
 PRIVATE = (range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
 
@@ -95,7 +103,6 @@ def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int | None = 6, a_
     Null texts stay null.  Every token is one character of ``coded``.
     """
     spark = df.sparkSession
-    symbols = unused_symbols(df, text)
     width: dict[str, int] = {}
     rows = df.select(row_id, F.col(text).alias("coded"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("weight"))
     rules: list[tuple[str, str, str]] = []
@@ -104,11 +111,13 @@ def byte_pairs(df: DataFrame, row_id: str, text: str, rounds: int | None = 6, a_
         path = scratch(spark, "pairs")
         rows.write.parquet(path)
         rows = spark.read.schema(rows.schema).parquet(path)
+        if not number:
+            symbols = unused_symbols(rows, "coded")  # of the written rows: what made them runs once
         used = int(rows.agg(F.sum(F.length("coded") * F.col("weight"))).first()[0] or 0)
         ledger.append({"round": number, "tokens": used, "rules": len(rules), "cost": 2 * used + 4 * len(rules)})
         if number == rounds:
             break
-        counted = pair_counts(rows.select(F.split("coded", "").alias("tokens"), "weight"), "tokens", "weight").where("n >= 2")
+        counted = symbol_pairs(rows, "coded", "weight").where("n >= 2")
         if longest is not None:
             wide = F.create_map(*(F.lit(x) for kv in width.items() for x in kv)) if width else None
             size_of = lambda c, wide=wide: F.lit(1) if wide is None else F.coalesce(F.element_at(wide, F.col(c)), F.lit(1))
@@ -154,12 +163,19 @@ def rule_texts(rules: DataFrame) -> DataFrame:
             return known.select("id", "depth", F.array_join("parts", "").alias("s"))
 
 
-def expand(coded: DataFrame, rules: DataFrame, row_id: str) -> DataFrame:
-    """(row_id, text) of coded rows: rules (id, a, b) are expanded first, then each symbol is looked up."""
-    texts = rule_texts(rules).select(F.col("id").alias("__symbol"), "s")
-    each = coded.select(row_id, F.posexplode_outer(F.split("coded", "")).alias("pos", "__symbol")).join(F.broadcast(texts), "__symbol", "left")
-    found = each.groupBy(row_id).agg(F.count("pos").alias("n"), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("s", "__symbol").alias("c")))).alias("cs"))
-    return found.select(row_id, F.when(F.col("n") > 0, F.array_join(F.transform("cs", lambda x: x["c"]), "")).alias("text"))
+def expand(coded: DataFrame, rules: DataFrame, row_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, *keep, text) of coded rows: rules (id, a, b) are expanded first, then each row's symbols are looked up where it stands."""
+    import pyarrow as pa
+
+    texts = {ord(r.id): r.s for r in rule_texts(rules).collect()}  # as few as the rules, which training has collected
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if v is None else v.translate(texts) for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string())], [*batch.schema.names[1:], "text"])
+
+    rows = coded.select(row_id, *keep)
+    return coded.select("coded", row_id, *keep).mapInArrow(spell, StructType([*rows.schema.fields, StructField("text", StringType())]))
 
 
 @query("x5_byte_pair_roundtrip", "SELECT p_partkey, p_name AS text FROM part")
@@ -246,7 +262,7 @@ def _word_grammar(spark, d, rounds: int | None) -> tuple[DataFrame, list[tuple[s
 def x5b(spark, d):
     """48 rounds of merges over the documents' words, and the words again from their codes."""
     coded, rules = _word_grammar(spark, d, 48)
-    return expand(coded, rule_table(spark, rules), "word").join(coded.select("word", F.col("weight").alias("n")), "word").select("word", "text", "n")
+    return expand(coded, rule_table(spark, rules), "word", ("weight",)).select("word", "text", F.col("weight").alias("n"))
 
 
 @query("x7b_learned_grammar_expansion")

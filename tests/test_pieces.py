@@ -354,3 +354,37 @@ def test_phrases_are_compiled_and_take_any_blanks(spark, tmp_path):
     found = registry.QUERIES["x14_phrase_candidates"](spark, str(tmp_path))
     assert {r.phrase: r.n for r in found.collect()} == {"a b c": 18}
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_symbols_are_those_of_arrays(spark):
+    from strandbase.operators.dictionary import pair_counts, symbol_pairs
+
+    texts = ["abab", "b", "", None, "a\U000f0000b", "aaa", "x\n a", "日本日本"]
+    df = spark.createDataFrame([(t, 1 + i) for i, t in enumerate(texts)], "coded string, weight long")
+    want = pair_counts(df.select(F.split("coded", "").alias("t"), "weight"), "t", "weight")
+    assert sorted(map(tuple, symbol_pairs(df, "coded", "weight").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_codes_are_spelled_where_they_stand(spark):
+    from strandbase.operators.dictionary import expand, rule_table
+
+    df = spark.createDataFrame([(i % 2, t, i) for i, t in enumerate(["\U000f0001c", "", None, "ab\U000f0000"])], "id long, coded string, w long")
+    rules = rule_table(spark, [("a", "b", "\U000f0000"), ("\U000f0000", "b", "\U000f0001")])
+    found = expand(df, rules, "id", ("w",))  # ids may repeat
+    assert {(r.id, r.w, r.text) for r in found.collect()} == {(0, 0, "abbc"), (1, 1, ""), (0, 2, None), (1, 3, "abab")}
+    assert not any(word in found._jdf.queryExecution().optimizedPlan().toString() for word in ("Join", "Aggregate"))
+
+
+def test_what_makes_the_texts_runs_once_before_pairs_are_learned(spark):
+    from strandbase.operators.dictionary import byte_pairs
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i, "abab") for i in range(50)], "id long, text string")
+    byte_pairs(df.mapInArrow(count, df.schema), "id", "text", rounds=2)
+    assert seen.value == 50
