@@ -131,13 +131,14 @@ class CountArrays:
     """Keys of about 33 bits with ``width`` small non-negative counts each, most of which are alike.
 
     A byte names one of the most frequent rows of counts; the rest stand in lists of
-    exceptions, in the order of the keys, one list for each width that holds a row.
+    exceptions, in the order of the keys, one list for each width that holds a row,
+    with their places: a lookup reads no more of a shard than it asks for.
     """
 
     #: A row that has no name of its own is in the list of its narrowest width: codes 253, 254 and 255.
     WIDTHS = [np.dtype(k) for k in (np.uint8, np.uint16, np.int64)]
     NAMED = 256 - len(WIDTHS)
-    KINDS = [*(np.dtype(k) for k in (np.int64, np.uint32, np.uint32, np.uint8, np.int64)), *WIDTHS]
+    KINDS = [*(np.dtype(k) for k in (np.int64, np.uint32, np.uint32, np.uint8, np.int64)), *WIDTHS, *[np.dtype(np.uint32)] * len(WIDTHS)]
 
     def __init__(self, path: str, name: str, bits: int, width: int):
         self.path, self.name, self.bits, self.width = path, name, bits, width
@@ -171,7 +172,8 @@ class CountArrays:
         for k in range(self.width):
             table[:, k] = common >> U64(16 * (self.width - 1 - k)) & U64(0xFFFF) if self.width > 1 else common
         rest = [rows[code == self.NAMED + k].astype(kind) for k, kind in enumerate(self.WIDTHS)]
-        put_file(file_of(self.path, self.name, shard), _sections([np.array([bucket_bits], np.int64), edges, low, code, table, *rest]))
+        places = [np.flatnonzero(code == self.NAMED + k).astype(np.uint32) for k in range(len(self.WIDTHS))]
+        put_file(file_of(self.path, self.name, shard), _sections([np.array([bucket_bits], np.int64), edges, low, code, table, *rest, *places]))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether there, rows of counts) for sorted keys; absent keys have zeros."""
@@ -198,11 +200,10 @@ class CountArrays:
             its = code[at]
             named = its < self.NAMED
             found[named] = table.reshape(-1, self.width)[its[named]]
-            for k, rows in enumerate(rest):
+            for k, (rows, places) in enumerate(zip(rest[: len(self.WIDTHS)], rest[len(self.WIDTHS) :], strict=True)):
                 mine = its == self.NAMED + k
                 if mine.any():
-                    place = np.searchsorted(np.flatnonzero(code == self.NAMED + k), at[mine])
-                    found[mine] = rows.reshape(-1, self.width)[place]
+                    found[mine] = rows.reshape(-1, self.width)[np.searchsorted(places, at[mine])]
             there[a:b], out[a:b][hit] = hit, found
         return there, out
 

@@ -209,16 +209,16 @@ def frames_of(docs: DataFrame, words: Words, tokens: int, vocabulary: int, keep:
 
     def frame(batch: int, held: list) -> pa.RecordBatch:
         found, offsets = _joined([(t, o) for _, t, o in held])
-        number, count = words.numbers(found)
+        distinct, at, often = np.unique(found, return_inverse=True, return_counts=True)
+        number, count = words.numbers(distinct)
         base = np.log10((count + 1) / (tokens + vocabulary + 1))
-        distinct, at, often = np.unique(number, return_inverse=True, return_counts=True)
         order = np.argsort(-often, kind="stable")  # frequent words get small places
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        sums = [pa.array(np.add.reduceat(x, offsets[:-1])) for x in ((count > 0).astype(np.int64), base)]
+        sums = [pa.array(np.add.reduceat(x[at], offsets[:-1])) for x in ((count > 0).astype(np.int64), base)]
         lists = [pa.concat_arrays([p.column(c) for p, _, _ in held]) for c in ("id", *keep, "learned")] + [pa.array(np.diff(offsets)), *sums]
         ends = pa.array([0, len(offsets) - 1], pa.int32())
-        values = [pa.array([batch]), *(pa.ListArray.from_arrays(ends, x) for x in lists), pa.array([packed([distinct[order]])]), pa.array([len(order)], pa.int32()), pa.array([packed([place[at]])])]
+        values = [pa.array([batch]), *(pa.ListArray.from_arrays(ends, x) for x in lists), pa.array([packed([number[order]])]), pa.array([len(order)], pa.int32()), pa.array([packed([place[at]])])]
         return pa.RecordBatch.from_arrays(values, ["batch", "id", *keep, "learned", "n", "known", "base", "words", "n_words", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,3 +51,19 @@ def test_op1_learns_nothing_and_keeps_columns(spark, docs):
     assert sorted(str(r.name) for r in got) == sorted(str(r.name) for r in named.collect())
     assert all(r.name is None or r.name == f"n{r.part.doc_id}" for r in got)
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in got} == {(0, 0, 0.0, 0.0)}
+
+
+def test_op1_arrays_are_read_where_asked(tmp_path, monkeypatch):
+    """A lookup of exceptions searches their places and doesn't go through all keys of the shard."""
+    from strandbase.llm import hasharrays
+
+    keys = np.sort(np.random.default_rng(3).integers(0, 2**63, 300_000, dtype=np.uint64))
+    rows = np.ones((len(keys), 1), np.int64)
+    rows[::3, 0] = np.arange(len(rows[::3])) + 5
+    arrays = hasharrays.CountArrays(str(tmp_path), "x", 0, 1)
+    arrays.write(0, keys, rows)
+    sizes = []
+    whole = np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: (sizes.append(len(x)), whole(x))[1])
+    there, found = arrays.of(keys[3000:3010])
+    assert there.all() and (found == rows[3000:3010]).all() and max(sizes, default=0) <= 10
